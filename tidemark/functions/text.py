@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,13 +28,19 @@ def long_words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(WORD2), F.lit(0))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it several times inside one expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
     """All runs of n neighbouring tokens; an empty array for shorter input."""
-    count = F.size(tokens) - F.lit(n - 1)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda i: F.concat_ws(sep, F.slice(tokens, i, n)))
-    return F.when(count >= 1, grams).otherwise(F.array().cast("array<string>"))
+    def grams(t: Column) -> Column:
+        count = F.size(t) - F.lit(n - 1)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
+                           lambda i: F.concat_ws(sep, F.slice(t, i, n)))
+        return F.when(count >= 1, runs).otherwise(F.array().cast("array<string>"))
+    return bind(tokens, grams)
 
 
 def clean_title(c: Column | str) -> dict[str, Column]:

@@ -23,7 +23,7 @@ def micros(c: Column | str) -> Column:
 def plus_seconds(c: Column | str, seconds: Column | float | int) -> Column:
     """Timestamp plus seconds, computed in whole microseconds."""
     s = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    return F.timestamp_micros(micros(c) + (s * F.lit(1000000)).cast("bigint"))
+    return F.timestamp_micros(micros(c) + (s.cast("double") * F.lit(1e6)).cast("bigint"))
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:
