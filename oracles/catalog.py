@@ -1,5 +1,5 @@
 """All oracle texts by query name."""
 
-from oracles import market, news
+from oracles import market, news, policy
 
-ORACLES = {**market.ORACLES, **news.ORACLES}
+ORACLES = {**market.ORACLES, **news.ORACLES, **policy.ORACLES}

@@ -48,8 +48,9 @@ def mode_weight(pillar: str, horizon: str = "horizon", mode: str = "bundle_mode"
     return out
 
 
-def bundle_at(decisions: DataFrame, bundles: DataFrame, at: str = "cutoff_at") -> DataFrame:
-    """Newest generation created by the cutoff, per horizon, expired or not.
+def bundle_at(decisions: DataFrame, bundles: DataFrame, at: str = "cutoff_at",
+              live_only: bool = False) -> DataFrame:
+    """Newest generation created by the cutoff, per horizon, expired or not (or live ones only).
 
     The register is configuration (a few rows per horizon): it joins as one array per horizon,
     so decisions are not shuffled for it.
@@ -57,21 +58,14 @@ def bundle_at(decisions: DataFrame, bundles: DataFrame, at: str = "cutoff_at") -
     fields = ["generation", "bundle_id", "mode", "created_at", "expires_at", "reliability_lower", "is_calibrated"]
     per = bundles.groupBy("horizon").agg(F.collect_list(F.struct(*fields)).alias("_bundles"))
     d = decisions.join(per, "horizon", "left")
-    newest = F.array_max(F.filter("_bundles", lambda b: b["created_at"] <= F.col(at)))
+    newest = F.array_max(F.filter("_bundles", lambda b: (b["created_at"] <= F.col(at)) & (
+        F.lit(not live_only) | (F.col(at) < b["expires_at"]))))
     d = d.withColumn("_b", newest)
     return d.select(*decisions.columns, *[F.col(f"_b.{f}").alias(n) for f, n in (
         ("bundle_id", "model_bundle"), ("mode", "bundle_mode"), ("expires_at", "bundle_expires_at"),
         ("reliability_lower", "reliability_lower"), ("is_calibrated", "is_calibrated"))])
 
 
-def active_bundle(bundles: DataFrame, at: Column) -> DataFrame:
-    """Newest generation per horizon that exists and is not expired."""
-    live = bundles.where((F.col("created_at") <= at) & (at < F.col("expires_at")))
-    rest = [c for c in bundles.columns if c != "horizon"]
-    return (live.groupBy("horizon").agg(F.max_by(F.struct(*rest), "generation").alias("b"))
-            .select("horizon", "b.*"))
-
-
 def signals(snapshot: DataFrame, blackout: DataFrame, bundles: DataFrame) -> DataFrame:
     """The signal row of every decision. A map over the snapshot apart from the joins by key.
 

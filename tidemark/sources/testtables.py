@@ -312,3 +312,32 @@ def bundles(spark: SparkSession) -> DataFrame:
 def asset_of(market: Column | str = "market_id") -> Column:
     m = F.col(market) if isinstance(market, str) else market
     return F.when(m.contains("BTC"), F.lit("BTC")).otherwise(F.lit("ETH"))
+
+
+def rights_sources(spark: SparkSession) -> DataFrame:
+    """Source switches (configuration)."""
+    return spark.createDataFrame([
+        ("bls", True, None), ("fed_board", True, None), ("gdelt", True, None), ("farside", True, None),
+        ("binance", True, None), ("coinbase", False, "CONSENT_REQUIRED"), ("reddit", False, None),
+    ], "source_id string, enabled boolean, disabled_reason string")
+
+
+def rights_policies(spark: SparkSession) -> DataFrame:
+    """Registered policies (configuration)."""
+    every = {o: "PERMITTED" for o in ("COLLECT", "RETAIN_RAW", "COMPUTE_FEATURES", "TRAIN_ML", "INFER_ML",
+                                      "DISTRIBUTE_SIGNAL")}
+    rows = [
+        ("bls", "*", "p_bls", "2023-01-01 00:00:00", None, every, "", 1),
+        ("fed_board", "default", "p_fed", "2023-01-01 00:00:00", None, every, "", 1),
+        ("farside", "us_spot_etf_flows", "p_far", "2023-12-15 00:00:00", "2024-01-28 12:00:00",
+         {"COMPUTE_FEATURES": "PERMITTED", "SERVE_DISPLAY": "DENIED"}, "vendor terms", 1),
+        ("binance", "spot_trades", "p_bin_old", "2023-01-01 00:00:00", None, {}, "", 1),
+        ("binance", "spot_trades", "p_bin", "2024-01-05 00:00:00", None,
+         {"COLLECT": "PERMITTED", "EXPORT_RAW": "DENIED", "TRAIN_ML": "UNKNOWN"}, "venue terms", 2),
+        ("binance", "*", "p_bin_any", "2023-01-01 00:00:00", "2024-01-20 00:00:00", {"COLLECT": "PERMITTED"}, "", 1),
+    ]
+    return (spark.createDataFrame(
+        rows, "source_id string, dataset_id string, policy_id string, f string, t string,"
+              " entitlements map<string,string>, rationale string, registered int")
+        .select("source_id", "dataset_id", "policy_id", F.to_timestamp("f").alias("effective_from"),
+                F.to_timestamp("t").alias("effective_to"), "entitlements", "rationale", "registered"))
