@@ -1,5 +1,5 @@
 """All oracle texts by query name."""
 
-from oracles import market, news, policy
+from oracles import market, news, policy, training
 
-ORACLES = {**market.ORACLES, **news.ORACLES, **policy.ORACLES}
+ORACLES = {**market.ORACLES, **news.ORACLES, **policy.ORACLES, **training.ORACLES}

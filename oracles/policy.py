@@ -248,7 +248,7 @@ cte("ex1", "SELECT *, " + ", ".join(f"exp(({z})::DOUBLE) AS {p}_e{k}" for p, zs
 cte("ex2", "SELECT *, " + ", ".join(f"{p}_e{k} / ({p}_ed + {p}_ef + {p}_eu) AS {p}_{k}" for p in P4 for k in "dfu")
     + ", " + ", ".join(f"{pri(i)} * {p}_s AS {p}_raw" for i, p in enumerate(P4)) + " FROM ex1")
 _tot = " + ".join(f"{p}_raw" for p in P4)
-cte("ex3", f"SELECT *, {_tot} AS q, " + ", ".join("exp((" + " + ".join(f"{p}_raw * ln({p}_{k})" for p in P4) + f") / nullif({_tot}, 0)) AS g{k}" for k in "dfu")
+cte("ex3", f"SELECT *, {_tot} AS q, " + ", ".join("exp((" + " + ".join(f"{p}_raw * ln(greatest({p}_{k}, 1e-6::DOUBLE))" for p in P4) + f") / nullif({_tot}, 0)) AS g{k}" for k in "dfu")
     + f", {agree('u', 'd')} AS au, {agree('d', 'u')} AS ad FROM ex2")
 cte("bundle_for", """SELECT c.cutoff_at, b.* FROM cutoffs c JOIN f_bundles b ON b.created_at <= c.cutoff_at
 QUALIFY row_number() OVER (PARTITION BY c.cutoff_at, b.horizon ORDER BY generation DESC) = 1""")
@@ -284,7 +284,7 @@ _fac = f"CASE WHEN upd IS NULL OR {_age} <= full_s THEN 1 ELSE greatest(0, 1 - (
 ORACLES["source_status"] = f"""
 SELECT {ts('now')} AS now, source_id, dataset_id, CASE WHEN NOT ok THEN CASE WHEN reason_code LIKE '%DISABLED%' THEN 'DISABLED' ELSE 'RIGHTS_BLOCKED' END
     WHEN {_fac} > 0.5 THEN 'HEALTHY' ELSE 'DEGRADED' END AS state,
-  {r(f'CASE WHEN ok THEN round({_fac}, 4) ELSE 0 END')} AS freshness_factor, {r(f'CASE WHEN ok THEN round(COALESCE({_age}, shown), 1) ELSE 0 END')} AS age_seconds,
+  {r(f'CASE WHEN ok THEN round({_fac}, 4) ELSE 0 END')} AS freshness_factor, {r(f'CASE WHEN ok THEN round(CASE WHEN upd IS NULL THEN shown ELSE {_age} END, 1) ELSE 0 END')} AS age_seconds,
   CASE WHEN ok THEN {ts('COALESCE(upd, now)')} END AS last_update_at, NOT ok AS is_hard_stop,
   CASE WHEN bool_and(ok) OVER (PARTITION BY now) THEN 'FULL' ELSE 'TECH_MACRO' END AS mode, CASE WHEN bool_and(ok) OVER (PARTITION BY now) THEN 0.98::DOUBLE ELSE 0.75::DOUBLE END AS overall_quality
 FROM st"""

@@ -107,7 +107,7 @@ def pillar_scores() -> dict[str, Column]:
 
 def snapshot_digest(snapshot: DataFrame, version: str = "features_1.0.0") -> Column:
     """SHA-256 prefix of the canonical content (sorted names, six decimals)."""
-    parts = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}="), F.format_number(F.col(n), "0.000000")))
+    parts = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}="), F.format_string("%.6f", F.col(n))))
              for n in scalar_columns(snapshot)]
     text = F.concat_ws("|", "market_id", "horizon", stamp("cutoff_at"), F.lit(version), *parts)
     return F.substring(F.sha2(text, 256), 1, 32)
