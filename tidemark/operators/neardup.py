@@ -95,37 +95,39 @@ def suppress_near_duplicates(events: DataFrame, similar: DataFrame, slot: list[s
     linked = (sizes.join(pairs, "class_id").join(partner, [*slot, "_status", "other_id"], "left_semi")
               .select(*group))
     contested = sizes.where("_n > 1").select(*group).unionByName(linked).distinct()
-    undecided = cut_lineage(
+    # state of the contested events: 0 undecided, 1 kept, 2 dropped
+    states = cut_lineage(
         d.join(contested, group, "left_semi")
-        .select(*group, "event_id", "available_at", "source_observed_at"))
-    dropped = undecided.select(*slot, "event_id").limit(0)
-
-    left = undecided.count()
-    while left:
-        heads = undecided.groupBy(*group).agg(
-            F.min_by(F.struct("available_at", "event_id", "source_observed_at"), order).alias("h"))
-        rival = heads.select(*slot, "_status", F.col("class_id").alias("other_id"),
-                             F.struct("h.available_at", "h.event_id").alias("_r"))
-        blocked = (heads.join(pairs, "class_id").join(rival, [*slot, "_status", "other_id"])
-                   .where(F.col("_r") < F.struct("h.available_at", "h.event_id"))
-                   .select(*group).distinct())
-        winners = cut_lineage(heads.join(blocked, group, "left_anti"))
-        reach = winners.select(*group, "h").unionByName(
-            winners.join(pairs, "class_id")
-            .select(*slot, "_status", F.col("other_id").alias("class_id"), "h"))
-        losers = cut_lineage(
-            undecided.join(reach, group)
-            .where((F.struct("h.available_at", "h.event_id") < order)
-                   & (F.abs(seconds_between("h.source_observed_at", "source_observed_at")) <= SIMILAR_WITHIN_S))
-            .select(*slot, "event_id").distinct())
-        done = losers.unionByName(winners.select(*slot, F.col("h.event_id").alias("event_id")))
-        undecided = cut_lineage(undecided.join(done, [*slot, "event_id"], "left_anti"))
-        dropped = dropped.unionByName(losers)
-        left = undecided.count()
-    return (d.join(dropped.withColumn("_drop", F.lit(True)), [*slot, "event_id"], "left")
+        .select(*group, "event_id", "available_at", "source_observed_at", F.lit(0).alias("_state")))
+    while not states.where("_state = 0").isEmpty():
+        states = cut_lineage(_one_round(states, pairs, slot, group))
+    dropped = states.where("_state = 2").select(*slot, "event_id", F.lit(True).alias("_drop"))
+    return (d.join(dropped, [*slot, "event_id"], "left")
             .withColumn("kept", F.col("_drop").isNull()).drop("_drop", "_status"))
 
 
+def _one_round(states: DataFrame, pairs: DataFrame, slot: list[str], group: list[str]) -> DataFrame:
+    """Decide the first undecided event of every group that no earlier rival can drop."""
+    order = F.struct("available_at", "event_id")
+    head = F.struct("h.available_at", "h.event_id")
+    open_ = states.where("_state = 0")
+    heads = open_.groupBy(*group).agg(
+        F.min_by(F.struct("available_at", "event_id", "source_observed_at"), order).alias("h"))
+    rival = heads.select(*slot, "_status", F.col("class_id").alias("other_id"), head.alias("_r"))
+    blocked = (heads.join(pairs, "class_id").join(rival, [*slot, "_status", "other_id"])
+               .where(F.col("_r") < head).select(*group).distinct())
+    winners = heads.join(blocked, group, "left_anti")
+    reach = winners.select(*group, "h").unionByName(
+        winners.join(pairs, "class_id").select(*slot, "_status", F.col("other_id").alias("class_id"), "h"))
+    decided = (open_.join(reach, group)
+               .where((head == order) | (
+                   (head < order)
+                   & (F.abs(seconds_between("h.source_observed_at", "source_observed_at")) <= SIMILAR_WITHIN_S)))
+               .groupBy(*slot, "event_id").agg(F.max(F.when(head == order, 1).otherwise(2)).alias("_new")))
+    return (states.join(decided, [*slot, "event_id"], "left")
+            .withColumn("_state", F.coalesce("_new", "_state")).select(states.columns))
+
+
 def over_candidate_limit(judged: DataFrame, classes: DataFrame, slot: list[str],
                          limit: int = CANDIDATE_LIMIT) -> DataFrame:
     """Slots in which some event shares a shingle with more than `limit` kept earlier events.

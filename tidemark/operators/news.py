@@ -60,6 +60,10 @@ def news_versions(items: DataFrame, bucket_s: int = 7 * DAY) -> DataFrame:
 JOIN_BUCKET_S = {"scalp_15m": 900, "swing_24h": 10800, "position_30d": 86400}
 
 
+def _place(horizon: str):
+    return lambda bucket: F.struct(F.lit(horizon).alias("horizon"), bucket.alias("_bucket"))
+
+
 def visible_items(slots: DataFrame, versions: DataFrame, columns: list[str]) -> DataFrame:
     """All (slot, item) pairs: the version is current at the cutoff and 0 ≤ age ≤ reach.
 
@@ -67,23 +71,20 @@ def visible_items(slots: DataFrame, versions: DataFrame, columns: list[str]) ->
     in the buckets of the horizon's reach, so the join has an equality key of bounded width.
     """
     clock = F.coalesce("published_at", "source_observed_at")
-    parts = []
-    for name, width in JOIN_BUCKET_S.items():
-        reach = HORIZONS[name]["news_long_s"]
-        us = width * 1000000
-        lo = F.greatest(F.col("valid_from"), clock)
-        hi = F.least(F.coalesce(F.col("valid_to"), plus_seconds(clock, reach)), plus_seconds(clock, reach))
-        v = (versions.select("asset", "valid_from", "valid_to", clock.alias("_clock"), *columns)
-             .withColumn("horizon", F.lit(name)))
-        parts.append(v.where(lo <= hi).withColumn("_bucket", F.explode(F.sequence(
-            F.floor(F.unix_micros(F.greatest(F.col("valid_from"), F.col("_clock"))) / us).cast("bigint"),
-            F.floor(F.unix_micros(F.least(F.coalesce(F.col("valid_to"), plus_seconds("_clock", reach)),
-                                          plus_seconds("_clock", reach))) / us).cast("bigint")))))
-    listed = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    width = None
-    for name, w in JOIN_BUCKET_S.items():
-        lit = F.lit(w * 1000000)
-        width = F.when(F.col("horizon") == name, lit) if width is None else width.when(F.col("horizon") == name, lit)
+    v = versions.select("asset", "valid_from", "valid_to", clock.alias("_clock"), *columns)
+    lo = F.greatest("valid_from", "_clock")
+    places, width = [], None
+    for name, seconds in JOIN_BUCKET_S.items():
+        us = seconds * 1000000
+        end = plus_seconds("_clock", HORIZONS[name]["news_long_s"])
+        hi = F.least(F.coalesce("valid_to", end), end)
+        at = lambda t, us=us: F.floor(F.unix_micros(t) / F.lit(us)).cast("bigint")
+        places.append(F.when(lo <= hi, F.transform(
+            F.sequence(at(lo), F.greatest(at(lo), at(hi))), _place(name))).otherwise(F.array()))
+        slot = F.when(F.col("horizon") == name, F.lit(us).cast("bigint"))
+        width = slot if width is None else width.when(F.col("horizon") == name, F.lit(us).cast("bigint"))
+    listed = v.withColumn("_p", F.explode(F.concat(*places))).select(
+        "asset", "valid_from", "valid_to", "_clock", *columns, "_p.*")
     asked = slots.select(*SLOT).distinct().withColumn(
         "_bucket", F.floor(F.unix_micros("cutoff_at") / width).cast("bigint"))
     age = seconds_between("_clock", "cutoff_at")
