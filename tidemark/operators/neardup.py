@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.constants import CANDIDATE_LIMIT, JACCARD_MIN, SIMILAR_WITHIN_S
 from tidemark.functions.text import ngrams, words
 from tidemark.functions.timing import seconds_between
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, spread
 
 
 def shingles(title: Column | str) -> Column:
@@ -27,7 +27,8 @@ def text_classes(items: DataFrame) -> DataFrame:
 
     class_id is NULL for texts too short to match anything.
     """
-    d = items.select("record_id", F.array_sort(shingles("title")).alias("shingles"))
+    d = spread(items.select("record_id", "title")).select(
+        "record_id", F.array_sort(shingles("title")).alias("shingles"))
     n = F.size("shingles")
     return d.withColumn("n", n).withColumn(
         "class_id", F.when(n > 0, F.md5(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ","))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.constants import TEXT_GATE, TEXT_HEADS
 from tidemark.functions.numeric import softmax
 from tidemark.functions.text import bind, long_words, ngrams
+from tidemark.session import cut_lineage, spread
 
 HEAD_CLASSES = [(h, c) for h, classes in TEXT_HEADS.items() for c in classes]
 MAX_VOCABULARY = 20000
@@ -18,14 +19,17 @@ def terms(text: Column | str) -> Column:
     return bind(long_words(text), lambda t: F.concat(t, ngrams(t, 2)))
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return (docs.select(key, F.explode(terms(text)).alias("term"))
-            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+def build_vocabulary(docs: DataFrame, text: str, documents: int, size: int = 200) -> DataFrame:
+    """The most frequent terms (ties by term) with rank and idf = ln((1+N)/(1+df)) + 1.
 
-
-def build_vocabulary(counts: DataFrame, documents: int, size: int = 200) -> DataFrame:
-    """The most frequent terms (ties by term) with rank and idf = ln((1+N)/(1+df)) + 1."""
-    return (counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    Each document lists its terms and, marked, its distinct terms; one aggregate per term with
+    map-side combine gives both counts, so pairs of document and term are never shuffled.
+    """
+    both = bind(terms(text), lambda t: F.concat(
+        F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))))
+    return (spread(docs).select(F.explode(both).alias("e")).select("e.*")
+            .groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
             .orderBy(F.col("total").desc(), "term").limit(size)
             .agg(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("neg"), "term", "df"))).alias("v"))
             .select(F.posexplode("v").alias("rank", "v"))
@@ -42,17 +46,21 @@ def rule_weights(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.withColumn("w", F.array(*cells))
 
 
-def score(counts: DataFrame, model: DataFrame, docs: DataFrame, key: str, english: Column) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, key: str, text: str, english: Column) -> DataFrame:
     """sentiment, relevance_btc, relevance_eth and status per document.
 
     `model` holds (term, idf, w[]) and at most 20,000 terms; that bound is checked before it is
     broadcast. Terms outside the vocabulary leave before the shuffle. Texts in another language
     score zero with no status; texts without known terms score by the intercepts (zero).
     """
+    model = cut_lineage(model)
     if model.limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
         raise ValueError("vocabulary exceeds its limit")
+    known = spread(docs.select(key, text)).select(key, F.explode(terms(text)).alias("term")).join(F.broadcast(model), "term")
+    counts = known.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"),
+                                            F.first("w").alias("w"))
     x = (1.0 + F.log(F.col("tf"))) * F.col("idf")
-    hits = counts.join(F.broadcast(model), "term").withColumn("_x", x)
+    hits = counts.withColumn("_x", x)
     sums = hits.groupBy(key).agg(
         F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"),
         *[F.sum(F.col("_x") * F.col("w")[i]).alias(f"_z{i}") for i in range(len(HEAD_CLASSES))])

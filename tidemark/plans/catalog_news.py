@@ -139,9 +139,8 @@ def clean_title_query(spark, sf):
 @query
 def tfidf_score(spark, sf):
     docs = tt.read(spark, sf, "documents").select("doc_id", "text", "lang")
-    counts = cut_lineage(textmodel.term_counts(docs, "doc_id", "text"))
-    model = textmodel.rule_weights(textmodel.build_vocabulary(counts, docs.count()))
-    return plain(textmodel.score(counts, model, docs.select("doc_id", "lang"), "doc_id", F.col("lang") == "en"))
+    model = textmodel.rule_weights(textmodel.build_vocabulary(docs, "text", docs.count()))
+    return plain(textmodel.score(docs, model, "doc_id", "text", F.col("lang") == "en"))
 
 
 @query

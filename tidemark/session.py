@@ -52,3 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never local): survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a narrow input all cores.
+
+    An input with fewer splits than cores (one small file) is redistributed; a large input has
+    splits enough and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
