@@ -117,6 +117,9 @@ ORACLES["news_features"] = (f"SELECT asset, horizon, {ts('cutoff_at')} AS cutoff
                             + ", ".join(f"{r(c)} AS {c}" for c in NEWS)
                             + ", CAST(lineage_size AS BIGINT) AS lineage_size FROM news_block")
 
+ORACLES["news_lineage"] = f"""SELECT k.asset, k.horizon, {ts('k.cutoff_at')} AS cutoff_at, k.record_id
+FROM kept k JOIN gate g ON g.asset = k.asset AND g.horizon = k.horizon AND g.cutoff_at = k.cutoff_at AND g.open"""
+
 cte("urls", r"""
 SELECT page_id, u, regexp_extract(u, '^(https?)://', 1) AS scheme,
   regexp_extract(u, '^https?://([^/?#]*)', 1) AS host, regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1) AS path,

@@ -92,6 +92,11 @@ def event_too_large(payload: Column) -> Column:
     return F.octet_length(payload) > MAX_EVENT_BYTES
 
 
+def leaks_at(available: str, cutoff: str) -> Column:
+    """True where something is used before it was available; available = cutoff is fine."""
+    return F.col(available) > F.col(cutoff)
+
+
 def pit_leaks(df: DataFrame, available: str, cutoff: str) -> DataFrame:
-    """Rows that use something not yet available at their cutoff; must be empty."""
-    return df.where(F.col(available) > F.col(cutoff))
+    """Rows that leak; must be empty."""
+    return df.where(leaks_at(available, cutoff))

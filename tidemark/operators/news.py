@@ -135,7 +135,7 @@ def share(flag: Column, count: Column) -> Column:
 
 def news_features(slots: DataFrame, items: DataFrame, polls: DataFrame, classes: DataFrame,
                   similar: DataFrame, approved_model: str = "m1", rights_allowed: bool = True) -> DataFrame:
-    """The ten news scalars and the lineage per (asset, horizon, cutoff); NULL when closed.
+    """The ten news scalars per (asset, horizon, cutoff); NULL when closed.
 
     An open slot without events is an active block of zeros. A slot whose candidate search
     passes the limit is closed.
@@ -158,8 +158,7 @@ def news_features(slots: DataFrame, items: DataFrame, polls: DataFrame, classes:
         F.sum(F.col("_short").cast("int")).alias("_ns"),
         F.sum(F.when(F.col("language") != "English", 1).otherwise(0)).alias("_nx"),
         F.sum(F.when(F.col("status") == "RUMOR", 1).otherwise(0)).alias("_nr"),
-        F.sum(F.when(F.col("status") == "CORRECTED", 1).otherwise(0)).alias("_nc"),
-        F.collect_list("record_id").alias("_ids"))
+        F.sum(F.when(F.col("status") == "CORRECTED", 1).otherwise(0)).alias("_nc"))
     publishers = F.count("_w")
     part = F.least(F.lit(PUBLISHER_SHARE), 1.0 / publishers)
     count = F.sum("_n")
@@ -171,8 +170,7 @@ def news_features(slots: DataFrame, items: DataFrame, polls: DataFrame, classes:
         F.coalesce(part * publishers, F.lit(0.0)).alias("news_weight_coverage"),
         (F.sum("_nr") / count).alias("news_rumor_share"),
         (F.sum("_nc") / count).alias("news_correction_share"),
-        F.sum("_nx").cast("double").alias("news_non_english_count"),
-        F.array_sort(F.flatten(F.collect_list("_ids"))).alias("news_lineage"))
+        F.sum("_nx").cast("double").alias("news_non_english_count"))
     zero = ["news_sentiment", "news_event_count", "news_short_event_count", "news_publisher_count",
             "news_weight_coverage", "news_rumor_share", "news_correction_share", "news_non_english_count"]
     d = (gate.join(per_slot, SLOT, "left")
@@ -183,8 +181,14 @@ def news_features(slots: DataFrame, items: DataFrame, polls: DataFrame, classes:
         *SLOT, "news_active",
         *[F.when(on, F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in zero],
         F.when(on, (F.coalesce("news_publisher_count", F.lit(0.0)) < 4).cast("double")).alias("news_concentrated"),
-        F.when(on, F.col("poll_age_s")).alias("news_poll_age_seconds"),
-        F.when(on, F.coalesce("news_lineage", F.array().cast("array<string>"))).alias("news_lineage"))
+        F.when(on, F.col("poll_age_s")).alias("news_poll_age_seconds"))
+
+
+def news_lineage(features: DataFrame, judged: DataFrame) -> DataFrame:
+    """The records behind each active block, one row per (slot, record): never an array, because
+    a slot may rest on any number of records."""
+    return (judged.where("kept").select(*SLOT, "record_id")
+            .join(features.where("news_active").select(*SLOT), SLOT, "left_semi"))
 
 
 NEWS_SCALARS = ("news_non_english_count", "news_sentiment", "news_event_count", "news_short_event_count",

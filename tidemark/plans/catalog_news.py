@@ -111,7 +111,17 @@ def news_neardup_kept(spark, sf):
 def news_features(spark, sf):
     d = news_block(spark, sf)
     return plain(d.select("asset", "horizon", "cutoff_at", "news_active", *news.NEWS_SCALARS,
-                          F.coalesce(F.size("news_lineage"), F.lit(-1)).alias("lineage_size")))
+                          F.coalesce(F.col("news_event_count").cast("bigint"), F.lit(-1)).alias("lineage_size")))
+
+
+@query
+def news_lineage(spark, sf):
+    """Records behind each active news block."""
+    items = tt.news_evidence(spark, sf)
+    classes, similar = text_tables(items)
+    asked = slots(spark, sf)
+    block = news.news_features(asked, items, tt.news_polls(spark, sf), classes, similar)
+    return plain(news.news_lineage(block, news.retained_events(asked, items, classes, similar)))
 
 
 @query

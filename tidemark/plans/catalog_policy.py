@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import OPERATIONS, PILLARS
 from tidemark.functions import policy
-from tidemark.functions.checks import pit_leaks, probability_problems, violations
-from tidemark.functions.timing import plus_seconds, stamp
+from tidemark.functions.checks import leaks_at, probability_problems, violations
+from tidemark.functions.timing import plus_seconds
 from tidemark.operators import alerts, bars, costs, fusion, ledger, status
 from tidemark.operators.etf import reconcile
 from tidemark.operators.events import event_blackout as blackout
@@ -44,7 +44,7 @@ def signals(spark, sf):
 def feature_snapshot_query(spark, sf):
     s = snapshot(spark, sf, 60, tuple(MIN_BARS))
     return plain(s.select(*KEY, "bars_in_lookback", *scalar_columns(s), *[f"{p}_active" for p in PILLARS], "mode",
-                          F.size("lineage").alias("lineage_size")), 4)
+                          (F.size("lineage") + F.coalesce("news_event_count", F.lit(0.0))).cast("bigint").alias("lineage_size")), 4)
 
 
 @query
@@ -67,9 +67,8 @@ def pit_leak_audit(spark, sf):
     """Rows of the snapshot that use an input from after their cutoff (must be none)."""
     s = snapshot(spark, sf, technical=())
     used = s.withColumn("used", F.greatest("newest_input_at", plus_seconds("bar_close_at", 2)))
-    leaks = pit_leaks(used, "used", "cutoff_at").groupBy().agg(F.count(F.lit(1)).alias("leaks"))
-    return plain(used.groupBy().agg(F.count(F.lit(1)).alias("n_rows"), F.max("used").alias("newest"))
-                 .join(leaks, F.lit(True)))
+    return plain(used.groupBy().agg(F.count(F.lit(1)).alias("n_rows"), F.max("used").alias("newest"),
+                                    F.count_if(leaks_at("used", "cutoff_at")).alias("leaks")))
 
 
 @query

@@ -64,11 +64,10 @@ def feature_snapshot(decisions: DataFrame, bars: DataFrame, macro: DataFrame, fl
                 on("etf", F.greatest(zero, F.least(one, etf["coverage_ratio"]))), on("etf", one)),
         "news": (one, on("news", one), on("news", one)),
     }
-    lineage = F.concat(
-        F.filter(F.array(F.concat(F.lit("macro:"), cpi["record_id"].cast("string")),
-                         F.concat(F.lit("macro:"), effr["record_id"].cast("string")),
-                         etf["record_id"].cast("string")), lambda x: x.isNotNull()),
-        F.coalesce(F.col("news_lineage"), F.array().cast("array<string>")))
+    # at most three records; the news records are rows of their own (operators.news.news_lineage)
+    lineage = F.filter(F.array(F.concat(F.lit("macro:"), cpi["record_id"].cast("string")),
+                               F.concat(F.lit("macro:"), effr["record_id"].cast("string")),
+                               etf["record_id"].cast("string")), lambda x: x.isNotNull())
     return d.select(
         *decisions.columns, "asset", "bars_in_lookback", "bar_close_at",
         *[F.when(two, F.col(t)).alias(t) for t in technical],
