@@ -20,12 +20,14 @@ def _time(ts: str, forward: bool) -> Column:
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str,
          payload: list[str], tie: list[str] | None = None, bucket_s: int = 86400,
-         forward: bool = False, strict: bool = False) -> DataFrame:
+         forward: bool = False, strict: bool = False, probe: DataFrame | None = None) -> DataFrame:
     """For every left row the nearest right row of the same key at or before its time.
 
     forward=True looks for the first right row at or after it. strict=True excludes equal times.
     `tie` orders right rows of equal time; the last one wins (the first one when forward).
     Left rows without a match keep NULLs. Payload names must differ from the left columns.
+    `probe` may name a cheaper frame with the keys and times of the left side (for example the
+    input of an earlier as-of join); it tells which buckets are asked for.
     """
     tie = tie or []
     width = int(bucket_s) * 1000000
@@ -53,7 +55,9 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_t
 
     totals = r.groupBy(*by, "_b").agg(
         F.max_by("_v", F.struct("_t", "_tie")).alias("_v"), F.lit(0).alias("_q"))
-    asked = l.groupBy(*by, "_b").agg(F.lit(None).cast(val_type).alias("_v"), F.lit(1).alias("_q"))
+    keys = l if probe is None else probe.select(
+        *by, _time(left_ts, forward).alias("_t")).withColumn("_b", bucket)
+    asked = keys.groupBy(*by, "_b").agg(F.lit(None).cast(val_type).alias("_v"), F.lit(1).alias("_q"))
     summary = (totals.unionByName(asked).groupBy(*by, "_b")
                .agg(F.first("_v", ignorenulls=True).alias("_v"), F.max("_q").alias("_q")))
     w = (Window.partitionBy(*_keyed(by)).orderBy("_b")

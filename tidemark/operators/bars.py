@@ -93,7 +93,8 @@ def asof_bar(decisions: DataFrame, bars: DataFrame, payload: list[str]) -> DataF
     first = F.col("cutoff_at") - F.expr(f"INTERVAL {LOOKBACK_DAYS} DAYS")
     d = d.withColumn("_from", first)
     b0 = b.select("market_id", F.col("bar_close_at").alias("_close0"), F.col("idx").alias("_idx0"))
-    d = asof(d, b0, ["market_id"], "_from", "_close0", ["_idx0"], strict=True)
+    d = asof(d, b0, ["market_id"], "_from", "_close0", ["_idx0"], strict=True,
+             probe=decisions.select("market_id", first.alias("_from")))
     inside = F.col("bar_close_at") >= F.col("_from")
     return (d.withColumn("bars_in_lookback",
                          F.when(inside, F.col("idx") - F.coalesce("_idx0", F.lit(0)))

@@ -71,11 +71,12 @@ def outcome_prices(decisions: DataFrame, trades: DataFrame, bucket_s: int = 3600
     """Entry price (first trade at or after cutoff + delay) and exit price (… + forecast)."""
     d = (decisions.withColumn("_entry_from", plus_seconds("cutoff_at", by_horizon("delay_s")))
          .withColumn("_exit_from", plus_seconds("_entry_from", by_horizon("forecast_s"))))
+    times = d.select("market_id", "_entry_from", "_exit_from")
     t = trades.select("market_id", F.col("event_time").alias("_at"), F.col("price_usd").alias("_p"), "trade_id")
     for name, at in (("entry", "_entry_from"), ("exit", "_exit_from")):
         r = t.select("market_id", F.col("_at").alias(f"{name}_at"), F.col("_p").alias(f"{name}_price"), "trade_id")
         d = asof(d, r, ["market_id"], at, f"{name}_at", [f"{name}_at", f"{name}_price"], tie=["trade_id"],
-                 bucket_s=bucket_s, forward=True)
+                 bucket_s=bucket_s, forward=True, probe=times)
     return d.drop("_entry_from", "_exit_from")
 
 
