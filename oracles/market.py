@@ -1,6 +1,6 @@
 """DuckDB text for the market queries."""
 
-from oracles.fixtures import T0, cte, sql, ts
+from oracles.fixtures import cte, sql, ts
 
 ORACLES: dict[str, str] = {}
 

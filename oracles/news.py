@@ -46,7 +46,6 @@ cte("shing", """SELECT DISTINCT record_id, t[i] || chr(31) || t[i + 1] || chr(31
 FROM (SELECT record_id, t, unnest(range(1, len(t) - 1)) AS i FROM toks WHERE len(t) >= 3)""")
 cte("sets", "SELECT record_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS cls FROM shing GROUP BY record_id")
 cte("reps", "SELECT cls, min(CAST(record_id AS BIGINT)) AS rec, any_value(n) AS n FROM sets GROUP BY cls")
-cte("rare", """SELECT s FROM shing WHERE CAST(record_id AS BIGINT) IN (SELECT rec FROM reps) GROUP BY s HAVING count(*) BETWEEN 2 AND 40""")
 cte("rep_shing", """SELECT r.rec, r.n, s.s FROM reps r JOIN shing s ON CAST(s.record_id AS BIGINT) = r.rec""")
 cte("sim_pairs", """
 SELECT a, b, inter / (na + nb - inter)::DOUBLE AS jaccard FROM (

@@ -2,7 +2,7 @@
 
 from oracles.fixtures import HZ, cte, pick, sql, ts
 from oracles.market import r
-from oracles.policy import K, P4, W
+from oracles.policy import P4, W
 
 ORACLES: dict[str, str] = {}
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
