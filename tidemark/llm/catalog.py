@@ -5,8 +5,9 @@ from __future__ import annotations
 from tidemark.llm import va_file
 from tidemark.llm.bin_packing import op10_best_fit
 from tidemark.llm.byte_bpe import op2_byte_bpe
+from tidemark.llm.superminhash import op7_superminhash
 from tidemark.llm.token_spans import op9_token_spans
 from tidemark.llm.va_file import op3_va_file
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_va_file, op9_token_spans, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_va_file, op7_superminhash, op9_token_spans, op10_best_fit)}
 ORACLES: dict[str, str] = {"op3_va_file": va_file.ORACLE}
