@@ -6,11 +6,8 @@ set stops as soon as every place is filled: a large set needs one draw per eleme
 
 Steps. (1) One pass makes shingle sets, their digests and band keys. (2) Equal sets are one class from the start,
 so copies never meet. (3) In each bucket of a band every class is compared with the bucket's smallest class, on full
-sets. (4) Where that leaves a bucket in several components, its outsiders are compared exactly with
-all members of such buckets that share a rare shingle: two sets A, B with
-J >= t share an element among the first |A| - ceil(t|A|) + 1 and |B| - ceil(t|B|) + 1 shingles in any common order; rare ones
-come first. So no link of a bucket is lost and no bucket is capped, split off or turned into all its pairs.
-(5) Components of the verified links.
+sets; buckets that still lie in several components are resolved exactly by rare shingles (links.py), so no link
+of a bucket is lost and no bucket is capped or turned into all its pairs. (4) Components of the verified links.
 
 Bands: 32 of 4 places find a pair of similarity 0.75 with probability 1 - 5e-6, more similar ones more surely.
 """
@@ -22,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch_of, bytes_of, read, small_side
 from tidemark.llm.components import components
+from tidemark.llm.links import links
 from tidemark.llm.words import mix, shingle_sets, words
 from tidemark.session import cut_lineage
 
@@ -113,8 +111,8 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of rows (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """(node, shingles) of rows (doc_id, text)."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,60 +120,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             for w in words(bytes_of(b.column(1))):
                 yield batch_of(schema, ids.slice(w.lo, w.hi - w.lo), [s.view(np.int64) for _, s in shingle_sets(w)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
-
-
-def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
-    """percent of the union or more is shared, in whole numbers."""
-    return 100 * shared >= percent * (a + b - shared)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sets whose sizes rule it out are not compared."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    m, n = F.size("x").cast("bigint"), F.size("y").cast("bigint")
-    met = pairs.join(left, "a").join(right, "b").where(similar(F.least(m, n), m, n, percent))
-    return met.where(similar(F.size(F.array_intersect("x", "y")).cast("bigint"), m, n, percent)).select("a", "b")
-
-
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, token): the rarest shingles of every set, as many as two similar sets must share one of."""
-    tokens = sets.select("doc_id", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    placed = tokens.join(often, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))
-    keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    return placed.select("doc_id", F.explode(F.slice("t", F.lit(1), keep)).alias("t")).select("doc_id", "t.token")
-
-
-def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) between the classes (doc_id, bands); `docs` has (doc_id, text) of the representatives."""
-    members = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    crowded = cut_lineage(members.join(heads, "bucket"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return full_sets(docs.join(small_side(ids), "doc_id", "left_semi"))
-
-    pairs = cut_lineage(crowded.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    first = cut_lineage(verified(pairs, sets_of(ids), percent))
-
-    known = components(first)
-    label = F.coalesce("component", "doc_id")
-    named = crowded.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "head", label.alias("part"))
-    heads_named = named.where("doc_id = head").select("bucket", F.col("part").alias("head_part"))
-    split = named.join(heads_named, "bucket")
-    mixed = cut_lineage(split.groupBy("bucket").agg(F.max((F.col("part") != F.col("head_part")).cast("int")).alias("mixed"),
-                                                    F.count("*").alias("n")).where("mixed = 1 and n > 2").select("bucket"))
-    again = split.join(mixed, "bucket")
-    again = cut_lineage(again.groupBy("doc_id", "part").agg(F.max((F.col("part") != F.col("head_part")).cast("int")).alias("outside")))
-    sets = cut_lineage(sets_of(again.select("doc_id")))
-    rare = cut_lineage(prefixes(sets, percent).join(again, "doc_id"))
-    left = rare.where("outside = 1").select("token", F.col("doc_id").alias("a"), F.col("part").alias("p"))
-    right = rare.select("token", F.col("doc_id").alias("b"), F.col("part").alias("q"))
-    rest = left.join(right, "token").where("p <> q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return first.unionByName(verified(rest, sets, percent))
+    return docs.select("doc_id", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -189,11 +134,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = cut_lineage(sketches(rows))
     full = sketch.where("doc_id is not null and n_shingles > 0")
-    # one class per digest: its bands, its smallest document, and a document that certainly has this text
-    heads = full.groupBy("digest").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("h")).select("digest", "h.doc_id", "h.bands")
-    classes = cut_lineage(heads)
-    copies = full.join(classes.select("digest", F.col("doc_id").alias("head")), "digest").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    found = components(copies.where("a <> b").unionByName(links(rows.where("doc_id is not null"), classes.select("doc_id", "bands"), percent)))
+    # one class per digest, named by its smallest document
+    classes = full.groupBy("digest").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("h"))
+    classes = cut_lineage(classes.select("digest", F.col("h.doc_id").alias("head"), "h.bands"))
+    copies = full.join(classes.select("digest", "head"), "digest").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    members = classes.select(F.col("head").alias("node"), F.explode("bands").alias("bucket"))
+    heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
+    crowded = cut_lineage(members.join(heads, "bucket"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return full_sets(rows.join(small_side(nodes.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi"))
+
+    found = components(copies.unionByName(links(crowded, sets_of, percent)))
     out = sketch.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
