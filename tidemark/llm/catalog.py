@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import va_file
+from tidemark.llm import quality_llr, va_file
 from tidemark.llm.bin_packing import op10_best_fit
 from tidemark.llm.byte_bpe import op2_byte_bpe
 from tidemark.llm.paragraph_minhash import op8_paragraph_minhash
+from tidemark.llm.quality_llr import op1_quality_llr
 from tidemark.llm.superminhash import op7_superminhash
 from tidemark.llm.token_spans import op9_token_spans
 from tidemark.llm.va_file import op3_va_file
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_va_file, op7_superminhash, op8_paragraph_minhash, op9_token_spans, op10_best_fit)}
-ORACLES: dict[str, str] = {"op3_va_file": va_file.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_byte_bpe, op3_va_file, op7_superminhash, op8_paragraph_minhash, op9_token_spans, op10_best_fit)}
+ORACLES: dict[str, str] = {"op1_quality_llr": quality_llr.ORACLE, "op3_va_file": va_file.ORACLE}
