@@ -10,7 +10,8 @@ from tidemark.llm.paragraph_minhash import op8_paragraph_minhash
 from tidemark.llm.quality_llr import op1_quality_llr
 from tidemark.llm.superminhash import op7_superminhash
 from tidemark.llm.token_spans import op9_token_spans
+from tidemark.llm.toxicity_zstd import op6_toxicity_zstd
 from tidemark.llm.va_file import op3_va_file
 
-QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_byte_bpe, op3_va_file, op5_langid_ftrl, op7_superminhash, op8_paragraph_minhash, op9_token_spans, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_byte_bpe, op3_va_file, op5_langid_ftrl, op6_toxicity_zstd, op7_superminhash, op8_paragraph_minhash, op9_token_spans, op10_best_fit)}
 ORACLES: dict[str, str] = {"op1_quality_llr": quality_llr.ORACLE, "op3_va_file": va_file.ORACLE}
