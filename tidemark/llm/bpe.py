@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -76,7 +77,7 @@ class _Memory(dict):
 
 
 class Codec:
-    """Encoder and decoder of one rank file; built once per worker."""
+    """Encoder and decoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
@@ -85,7 +86,9 @@ class Codec:
         self.bytes_of = {r: t for t, r in by_rank}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.split = regex.compile(pattern).findall
-        self.ids_memory, self.count_memory, self.span_memory = _Memory(self._ids), _Memory(self._count), _Memory(self._spans)
+        self.length_of = np.zeros(max(self.rank_of) + 1, dtype=np.int64)
+        self.length_of[self.rank_of] = [len(t) for t, _ in by_rank]
+        self.ids_memory, self.count_memory = _Memory(self._ids), _Memory(self._count)
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one pre-token. A whole pre-token of the vocabulary is that one id, as in the rank library."""
@@ -102,15 +105,6 @@ class Codec:
     def _count(self, word: str) -> int:
         return len(self.word_ids(word))
 
-    def _spans(self, word: str) -> tuple[bytes, bytes, int]:
-        """Start and end characters of the tokens, relative to the pre-token. A token that holds a part of
-        a character covers that whole character."""
-        ids = self.word_ids(word)
-        stops = np.cumsum([len(self.bytes_of[i]) for i in ids])
-        char_of = np.repeat(np.arange(len(word)), [len(c.encode()) for c in word])
-        starts = char_of[np.concatenate([[0], stops[:-1]])]
-        return starts.astype("<i4").tobytes(), (char_of[stops - 1] + 1).astype("<i4").tobytes(), len(ids)
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.ids_memory.__getitem__, self.split(text)))
@@ -122,10 +116,20 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end character of every token of the text."""
-        words = self.split(text)
-        found = [self.span_memory[w] for w in words]
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        base = np.repeat(np.cumsum(sizes) - sizes, np.fromiter((x[2] for x in found), dtype=np.int64, count=len(found)))
-        return (np.frombuffer(b"".join(x[0] for x in found), "<i4") + base,
-                np.frombuffer(b"".join(x[1] for x in found), "<i4") + base)
+        """Start and end character of every token; a token that holds a part of a character covers that whole character.
+
+        The tokens' bytes in a row are the text, so their lengths give the offsets."""
+        ids = np.frombuffer(self.encode(text), "<u4")
+        ends = np.cumsum(self.length_of[ids])
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        raw = text.encode()
+        if len(raw) == len(text):
+            return starts, ends
+        char_at = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
+        return char_at[starts], char_at[ends - 1] + 1
+
+
+@lru_cache(maxsize=2)
+def codec(path: str, pattern: str) -> Codec:
+    """The codec of this worker; later tasks of the same worker find its memory warm."""
+    return Codec(path, pattern)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Codec
+from tidemark.llm.bpe import codec
 from tidemark.llm.common import batch_of, read, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -30,10 +30,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     schema = pa.schema([("key", pa.int64()), ("ids", pa.binary())] + [("decoded", pa.binary())] * with_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(where, pattern)
+        own = codec(where, pattern)
         for b in batches:
-            ids = [codec.encode(t or "") for t in texts_of(b.column(1))]
-            extra = [[codec.decode(i) for i in ids]] if with_bytes else []
+            ids = [own.encode(t or "") for t in texts_of(b.column(1))]
+            extra = [[own.decode(i) for i in ids]] if with_bytes else []
             yield batch_of(schema, b.column(0), ids, *extra)
 
     return source.mapInArrow(run, "key bigint, ids binary" + ", decoded binary" * with_bytes).withColumnRenamed("key", key)
@@ -45,9 +45,9 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str
     schema = pa.schema([("key", pa.int64()), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(where, public_tokenizers.PATTERN)
+        own = codec(where, public_tokenizers.PATTERN)
         for b in batches:
-            yield batch_of(schema, b.column(0), [None if i is None else codec.decode(i) for i in b.column(1).to_pylist()])
+            yield batch_of(schema, b.column(0), [None if i is None else own.decode(i) for i in b.column(1).to_pylist()])
 
     source = encoded.select(F.col(key).cast("bigint").alias("key"), F.col(ids).alias("ids"))
     return source.mapInArrow(run, "key bigint, decoded binary").withColumnRenamed("key", key)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Codec
+from tidemark.llm.bpe import codec
 from tidemark.llm.common import batch_of, read, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -54,13 +54,13 @@ def section_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", pat
     schema = pa.schema([("key", pa.int64())] + [(c, pa.int64()) for c in ("section", "start_char", "n_chars", "n_tokens", "n_crossing")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(where, pattern)
+        own = codec(where, pattern)
         for b in batches:
             keys, parts = b.column(0).to_pylist(), []
             for k, t in zip(keys, texts_of(b.column(1)), strict=True):
                 if t:
                     first = sections(t)
-                    n, crossing = allocate(*codec.spans(t), first)
+                    n, crossing = allocate(*own.spans(t), first)
                     parts.append((k, np.arange(len(first)), first, np.diff(np.append(first, len(t))), n, crossing))
             if parts:
                 repeated = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])))
@@ -78,9 +78,9 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(where, pattern)
+        own = codec(where, pattern)
         for b in batches:
-            yield batch_of(schema, b.column(0), [None if t is None else codec.count(t) for t in texts_of(b.column(1))])
+            yield batch_of(schema, b.column(0), [None if t is None else own.count(t) for t in texts_of(b.column(1))])
 
     source = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     return source.mapInArrow(run, "key bigint, n_tokens bigint").withColumnRenamed("key", key)
