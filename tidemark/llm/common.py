@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import cut_lineage
+
 BROADCAST_ROWS = 1_000_000
 
 
@@ -21,10 +23,6 @@ def bytes_of(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)],
                            schema=schema)
@@ -51,9 +49,33 @@ def small_side(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], T.StructType(df.schema.fields))
-
-
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+REWRITE_ROWS = 100_000   #: lists of cuts that may be broadcast
+HAS_WORD = "[^\\x20\\x09-\\x0D]"
+
+
+def rewritten(docs: DataFrame, marks: DataFrame, cut: Callable[[str, list], str], key: str, text: str) -> DataFrame:
+    """`docs` with the texts changed that `marks` (doc_id, text_key, cut) names; text_key is xxhash64 of the text.
+
+    Documents left without a word go; n_chars follows the text where there is such a column. Only changed texts pass through
+    Python. The list of cuts is broadcast after its size is checked, else joined by a shuffle.
+    """
+    own, mine, new = fresh(docs, "cut_doc_id"), fresh(docs, "cut_text_key"), fresh(docs, "cut_text")
+    where = fresh(docs, "cut_places")
+    marks = small_side(cut_lineage(marks.select(F.col("doc_id").alias(own), F.col("text_key").alias(mine), F.col("cut").alias(where))), REWRITE_ROWS)
+    old = F.col(f"`{text}`").cast("string")
+
+    @F.arrow_udf(T.StringType())
+    def changed(texts: pa.Array, places: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else cut(t, p) for t, p in zip(texts_of(texts), places.to_pylist(), strict=True)], pa.string())
+
+    met = docs.join(marks, (F.col(f"`{key}`").cast("bigint") == F.col(own)) & (F.xxhash64(old) == F.col(mine)), "left")
+    met = met.withColumn(new, changed(F.when(F.col(where).isNotNull(), old), F.col(where)))
+    met = met.where(F.col(where).isNull() | F.col(new).rlike(HAS_WORD))
+    out = {text: F.coalesce(F.col(new), old)}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col(where).isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return met.withColumns(out).select(*(f"`{c}`" for c in docs.columns))
