@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import batch_of, crc, read, texts_of
 from tidemark.session import cut_lineage
@@ -192,6 +193,15 @@ def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     return source.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The documents whose language is told with a score of `least` or more; texts that are `und` go. All columns pass through."""
+    @F.arrow_udf(T.DoubleType())
+    def sure(texts: pa.Array) -> pa.Array:
+        return pa.array([model.predict(t)[1] for t in texts_of(texts)], pa.float64())
+
+    return docs.where(sure(F.col(f"`{text}`").cast("string")) >= least)
+
+
 def held_out(key: Column) -> Column:
     """crc32 of the id as text, modulo 3, is 1; a null id is never held out."""
     return F.coalesce(F.pmod(crc(key), F.lit(3)) == 1, F.lit(False))

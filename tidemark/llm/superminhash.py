@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch_of, bytes_of, read, small_side
+from tidemark.llm.common import batch_of, bytes_of, fresh, read, small_side
 from tidemark.llm.components import components
 from tidemark.llm.links import links
 from tidemark.llm.words import mix, shingle_sets, words
@@ -151,6 +151,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, with all its columns; rows equal in key and text count once, rows of a null key stay."""
+    ids = docs.select(F.col(f"`{key}`").cast("bigint").alias("id")).where("id is not null")
+    own = fresh(docs, "dropped_doc_id")
+    found = near_duplicates(docs, key, text)
+    gone = small_side(cut_lineage(found.where("not kept").select(F.col("doc_id").alias(own)).distinct()))
+    left = docs.join(gone, F.col(f"`{key}`").cast("bigint") == F.col(own), "left_anti")
+    many = small_side(cut_lineage(ids.groupBy("id").count().where("count > 1").select(F.col("id").alias(own))))
+    same = F.col(f"`{key}`").cast("bigint") == F.col(own)
+    return left.join(many, same, "left_anti").unionByName(left.join(many, same, "left_semi").dropDuplicates([key, text]))
+
+
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_duplicates(read(spark, sf_dir, "documents"))
