@@ -1,22 +1,26 @@
-"""Verified similarity links inside the buckets of a banding, complete without making all pairs of a bucket.
+"""Verified similarity links inside the buckets of a banding, complete without making the pairs of a bucket.
 
-(1) Every member is compared with the smallest member of its bucket, the head. (2) Where a bucket then still lies in several
-components, its outsiders (members outside the head's component) are compared with all members of such buckets that share
-a rare shingle: two sets A, B with J >= t share an element among the first |A| - ceil(t|A|) + 1 and
-|B| - ceil(t|B|) + 1 shingles in any common order; rare ones come first. So each colliding similar
-pair ends in one component, and no bucket is capped.
+(1) Every member is compared with the smallest member of its bucket, the head. (2) Where a bucket of three or more then still lies in several
+components, its members are compared with each other: buckets that share members form clusters, a cluster is cut by a hash into blocks of about
+BLOCK_SHINGLES shingles, and one task counts the shared shingles of one pair of blocks through an inverted index. It sends only
+links that join components, so no more rows leave it than nodes enter. No bucket is capped, and no similar pair of a
+bucket is missed: it ends in one component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.session import cut_lineage
 
+BLOCK_SHINGLES = 1_000_000
+
 
 def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
     """`percent` of the union or more is shared, in whole numbers."""
@@ -32,13 +36,69 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(similar(F.size(F.array_intersect("x", "y")).cast("bigint"), m, n, percent)).select("a", "b")
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, token): the rarest shingles of every set of a checkpointed frame, as many as two similar sets must share one of."""
-    tokens = sets.select("node", F.monotonically_increasing_id().alias("row"), F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    placed = tokens.join(often, "token").groupBy("row", "node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))
-    keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    return placed.select("node", F.explode(F.slice("t", F.lit(1), keep)).alias("t")).select("node", "t.token")
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 1 << 22) -> np.ndarray:
+    """(len(left), len(right)) numbers of shared elements of sets, by an inverted index over the elements of both sides."""
+    out = np.zeros(len(left) * len(right), dtype=np.int64)
+    token = [np.concatenate(s) if s else np.empty(0, np.int64) for s in (left, right)]
+    owner = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    order = [np.argsort(t, kind="stable") for t in token]
+    token = [t[o] for t, o in zip(token, order, strict=True)]
+    owner = [w[o] for w, o in zip(owner, order, strict=True)]
+    keys = np.intersect1d(token[0], token[1])
+    begin = [np.searchsorted(t, keys) for t in token]
+    count = [np.searchsorted(t, keys, side="right") - b for t, b in zip(token, begin, strict=True)]
+    if len(keys):
+        # one row for each place of a key on the left, wide as the key's list on the right; a long list stays within memory
+        rows = np.repeat(np.arange(len(keys)), count[0])
+        place = begin[0][rows] + np.arange(len(rows)) - np.repeat(np.cumsum(count[0]) - count[0], count[0])
+        width = count[1][rows]
+        ends = np.cumsum(width)
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - width[at] + at_once, side="right")))
+            w = width[at:to]
+            inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+            pair = np.repeat(owner[0][place[at:to]] * len(right), w) + owner[1][np.repeat(begin[1][rows[at:to]], w) + inner]
+            out += np.bincount(pair, minlength=len(out))
+            at = to
+    return out.reshape(len(left), len(right))
+
+
+def joining(left: tuple, right: tuple, percent: int) -> Iterator[tuple[int, int]]:
+    """Links of similar nodes that join components not yet joined; a side is (nodes, parts, sets)."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    m, n = (np.array([len(s) for s in side[2]], dtype=np.int64) for side in (left, right))
+    step = max(1, (1 << 21) // max(1, len(n)))
+    for at in range(0, len(m), step):
+        shared = shared_counts(left[2][at:at + step], right[2])
+        similar_ = 100 * shared >= percent * (m[at:at + step, None] + n[None, :] - shared)
+        for i, j in zip(*np.nonzero(similar_), strict=True):
+            p, q = find(left[1][at + i]), find(right[1][j])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                yield int(left[0][at + i]), int(right[0][j])
+
+
+def inside_clusters(sets: DataFrame, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) of a checkpointed frame (cluster, node, part, shingles), read twice."""
+    blocks = sets.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles").cast("bigint")) / block).cast("int").alias("blocks"))
+    rows = sets.join(blocks, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
+    rows = rows.select("cluster", "node", "part", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)).alias("other"))
+    rows = rows.select("cluster", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "part", "shingles")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sides = [(g["node"].tolist(), g["part"].tolist(), g["shingles"].tolist())
+                 for g in (group[group["mine"] == group["lo"].iloc[0]], group[group["mine"] == group["hi"].iloc[0]])]
+        return pd.DataFrame(list(joining(*sides, percent)), columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("cluster", "lo", "hi").applyInPandas(run, "a bigint, b bigint")
 
 
 def links(crowded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -46,18 +106,14 @@ def links(crowded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     `sets_of(nodes)`: one row (node, shingles) for every node of a frame (node)."""
     pairs = cut_lineage(crowded.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    first = cut_lineage(verified(pairs, cut_lineage(sets_of(nodes)), percent))
+    sets = cut_lineage(sets_of(nodes))
+    first = cut_lineage(verified(pairs, sets, percent))
 
-    known = components(first)
+    known = cut_lineage(components(first))
     named = crowded.join(known, "node", "left").select("bucket", "node", "head", F.coalesce("component", "node").alias("part"))
-    heads = named.where("node = head").select("bucket", F.col("part").alias("head_part"))
-    split = named.join(heads, "bucket").withColumn("outside", (F.col("part") != F.col("head_part")).cast("int"))
-    mixed = split.groupBy("bucket").agg(F.max("outside").alias("mixed"), F.count("*").alias("n")).where("mixed = 1 and n > 2")
-    again = split.join(mixed.select("bucket"), "bucket").groupBy("node", "part").agg(F.max("outside").alias("outside"))
-    again = cut_lineage(again)
-    sets = cut_lineage(sets_of(again.select("node")))
-    rare = cut_lineage(prefixes(sets, percent).join(again, "node"))
-    left = rare.where("outside = 1").select("token", F.col("node").alias("a"), F.col("part").alias("p"))
-    right = rare.select("token", F.col("node").alias("b"), F.col("part").alias("q"))
-    rest = left.join(right, "token").where("p <> q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return first.unionByName(verified(rest, sets, percent))
+    spread = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    mixed = named.join(spread.where("low <> high and n > 2").select("bucket"), "bucket")
+    mixed = cut_lineage(mixed.select("node", "head", "part").distinct())
+    cluster = components(mixed.select(F.col("head").alias("a"), F.col("node").alias("b")).where("a <> b"))
+    of = mixed.select("node", "part").distinct().join(cluster, "node").withColumnRenamed("component", "cluster")
+    return first.unionByName(inside_clusters(cut_lineage(sets.join(of, "node")), percent))
