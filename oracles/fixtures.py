@@ -127,7 +127,7 @@ SELECT CAST(doc_id AS VARCHAR) AS record_id,
        CASE WHEN doc_id % 5 = 0 THEN 'K' || (doc_id // 10) ELSE 'D' || doc_id END AS source_key,
        doc_id % 10 AS revision,
        CASE WHEN (doc_id // 10) % 2 = 0 THEN 'BTC' ELSE 'ETH' END AS asset,
-       source AS publisher, SUBSTR({CLEAN}, 1, 8000) AS title, LENGTH({CLEAN}) > 8000 AS title_truncated,
+       source AS publisher, SUBSTR({CLEAN}, 1, 8000) AS title, LENGTH({CLEAN}) > 8000 AS title_truncated, {CLEAN} AS body,
        CASE WHEN lang = 'en' THEN 'English' ELSE lang END AS language,
        CASE n_chars % 6 WHEN 0 THEN 'RUMOR' WHEN 1 THEN 'ANNOUNCED' WHEN 2 THEN 'EFFECTIVE'
          WHEN 3 THEN 'DENIED' WHEN 4 THEN 'CORRECTED' END AS status,

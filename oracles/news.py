@@ -41,7 +41,7 @@ ORACLES["news_events"] = f"""
 SELECT asset, horizon, {ts('cutoff_at')} AS cutoff_at, count(*) AS events, CAST(sum(CAST(record_id AS BIGINT)) AS BIGINT) AS record_sum,
   {r('sum(age)')} AS age_sum FROM events_at e GROUP BY e.asset, e.horizon, e.cutoff_at"""
 
-cte("toks", r"SELECT record_id, regexp_extract_all(lower(title), '[\p{L}\p{N}_]+') AS t FROM f_news")
+cte("toks", r"SELECT record_id, regexp_extract_all(lower(body), '[\p{L}\p{N}_]+') AS t FROM f_news")
 cte("shing", """SELECT DISTINCT record_id, t[i] || chr(31) || t[i + 1] || chr(31) || t[i + 2] AS s
 FROM (SELECT record_id, t, unnest(range(1, len(t) - 1)) AS i FROM toks WHERE len(t) >= 3)""")
 cte("sets", "SELECT record_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS cls FROM shing GROUP BY record_id")
@@ -89,17 +89,18 @@ GROUP BY e.asset, e.horizon, e.cutoff_at"""
 
 cte("gate", """
 SELECT s.asset, s.horizon, s.cutoff_at, s.short_s, s.half_s, (epoch_us(s.cutoff_at) - epoch_us(p.checked_at)) / 1e6::DOUBLE AS poll_age,
-  COALESCE(NOT p.coverage_capped AND p.model_version = 'm1' AND epoch_us(s.cutoff_at) - epoch_us(p.checked_at) < 3600000000, FALSE) AS open
+  s.cutoff_at >= TIMESTAMP '2024-01-01 04:00:00' AND s.cutoff_at < TIMESTAMP '2024-01-25' AS may_news, p.checked_at,
+  s.cutoff_at >= TIMESTAMP '2024-01-01 04:00:00' AND s.cutoff_at < TIMESTAMP '2024-01-25' AND COALESCE(NOT p.coverage_capped AND p.model_version = 'm1' AND epoch_us(s.cutoff_at) - epoch_us(p.checked_at) < 3600000000, FALSE) AS open
 FROM slots s ASOF LEFT JOIN f_polls p ON p.asset = s.asset AND s.cutoff_at >= p.checked_at""")
 cte("kept_w", "SELECT *, relevance * exp(-ln(2::DOUBLE) * age / half_s) AS w FROM kept")
 cte("per_pub", """SELECT asset, horizon, cutoff_at, publisher, sum(w) FILTER (w > 0) AS sw, sum(sentiment * w) FILTER (w > 0) AS ssw
 FROM kept_w GROUP BY 1, 2, 3, 4""")
 cte("pubs", """SELECT asset, horizon, cutoff_at, count(sw) AS np, sum(ssw / sw) AS total FROM per_pub GROUP BY 1, 2, 3""")
 cte("counts", """SELECT asset, horizon, cutoff_at, count(*) AS n, count(*) FILTER (age <= short_s) AS ns,
-  count(*) FILTER (language <> 'English') AS nx, count(*) FILTER (status = 'RUMOR') AS nr, count(*) FILTER (status = 'CORRECTED') AS nc
+  count(*) FILTER (language <> 'English') AS nx, count(*) FILTER (status = 'RUMOR') AS nr, count(*) FILTER (status = 'CORRECTED') AS nc, max(available_at) AS newest
 FROM kept GROUP BY 1, 2, 3""")
 cte("news_block", """
-SELECT g.asset, g.horizon, g.cutoff_at, g.open AS news_active,
+SELECT g.asset, g.horizon, g.cutoff_at, g.open AS news_active, g.may_news, CASE WHEN open THEN greatest(newest, checked_at) END AS newest_at,
   CASE WHEN open THEN COALESCE(nx, 0)::DOUBLE END AS news_non_english_count,
   CASE WHEN open THEN COALESCE(total * least(0.30::DOUBLE, 1 / np::DOUBLE), 0) END AS news_sentiment,
   CASE WHEN open THEN COALESCE(n, 0)::DOUBLE END AS news_event_count, CASE WHEN open THEN COALESCE(ns, 0)::DOUBLE END AS news_short_event_count,
@@ -146,7 +147,7 @@ UNION ALL SELECT doc_id, t[i] || ' ' || t[i + 1] FROM (SELECT doc_id, t, unnest(
 cte("tf", "SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2")
 cte("vocab", """SELECT term, row_number() OVER (ORDER BY total DESC, term) - 1 AS rank,
   ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf
-FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 200)""")
+FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 20000)""")
 HEADS = [(h, c) for h, n in enumerate((3, 2, 2, 5)) for c in range(n)]
 _z = ", ".join(f"sum(x * (((rank * 3 + {h * 5 + c * 7}) % 7 - 3) / 10.0::DOUBLE)) / sqrt(sum(x * x)) AS z{i}"
                for i, (h, c) in enumerate(HEADS))

@@ -15,15 +15,16 @@ cte("rights_pol", f"""SELECT source_id, dataset_id, policy_id, CAST(f AS TIMESTA
 FROM (VALUES ('bls', '*', 'p_bls', '2023-01-01', NULL, {_all}, []::VARCHAR[], ''), ('fed_board', 'default', 'p_fed', '2023-01-01', NULL, {_all}, [], ''),
  ('farside', 'us_spot_etf_flows', 'p_far', '2023-12-15', '2024-01-28 12:00:00', ['COMPUTE_FEATURES'], ['SERVE_DISPLAY'], 'vendor terms'),
  ('binance', 'spot_trades', 'p_bin', '2024-01-05', NULL, ['COLLECT'], ['EXPORT_RAW'], 'venue terms'),
- ('binance', '*', 'p_bin_any', '2023-01-01', '2024-01-20', ['COLLECT'], [], '')) v(source_id, dataset_id, policy_id, f, t, yes, no, rationale)""")
+ ('binance', '*', 'p_bin_any', '2023-01-01', '2024-01-20', ['COLLECT'], [], ''),
+ ('gdelt', 'article_metadata', 'p_gdelt', '2024-01-01 04:00:00', '2024-01-25', ['COMPUTE_FEATURES'], [], '')) v(source_id, dataset_id, policy_id, f, t, yes, no, rationale)""")
 
 
 def rights(requests):
     return f"""
-SELECT q.*, CASE WHEN NOT COALESCE(s.enabled, FALSE) THEN 'SOURCE_DISABLED: ' || COALESCE(s.why, 'Source ''' || q.source_id || ''' is disabled in configuration')
-  WHEN p.policy_id IS NULL THEN 'UNAUTHORIZED_UNKNOWN_PERMISSION: No policy registered'
-  WHEN q.at_ < p.f THEN 'POLICY_NOT_YET_EFFECTIVE: Starts ' || strftime(p.f, '%Y-%m-%dT%H:%M:%S+00:00')
-  WHEN q.at_ >= p.t THEN 'POLICY_EXPIRED: Ended ' || strftime(p.t, '%Y-%m-%dT%H:%M:%S+00:00')
+SELECT q.*, CASE WHEN NOT COALESCE(s.enabled, FALSE) THEN 'SOURCE_DISABLED: ' || COALESCE(s.why, 'Source ''' || q.source_id || ''' is switched off')
+  WHEN p.policy_id IS NULL THEN 'UNAUTHORIZED_UNKNOWN_PERMISSION: none is registered'
+  WHEN q.at_ < p.f THEN 'POLICY_NOT_YET_EFFECTIVE: valid from ' || strftime(p.f, '%Y-%m-%dT%H:%M:%S+00:00')
+  WHEN q.at_ >= p.t THEN 'POLICY_EXPIRED: valid until ' || strftime(p.t, '%Y-%m-%dT%H:%M:%S+00:00')
   WHEN list_contains(p.yes, q.operation) THEN 'AUTHORIZED'
   ELSE CASE WHEN list_contains(p.no, q.operation) THEN 'OPERATION_EXPLICITLY_DENIED' ELSE 'UNAUTHORIZED_UNKNOWN_PERMISSION' END
     || CASE WHEN p.rationale <> '' THEN ': ' || p.rationale ELSE '' END END AS reason_code,
@@ -43,18 +44,8 @@ cte("feed_rights", f"""SELECT cutoff_at, bool_or(source_id = 'bls' AND reason_co
   bool_or(source_id = 'farside' AND reason_code = 'AUTHORIZED') AS may_etf FROM ({rights('''
   SELECT s || strftime(cutoff_at, '%Y%m%d%H') AS id, cutoff_at, s AS source_id, CASE s WHEN 'bls' THEN 'cpi' ELSE 'us_spot_etf_flows' END AS dataset_id,
     'COMPUTE_FEATURES' AS operation, cutoff_at AS at_ FROM (SELECT cutoff_at, unnest(['bls', 'farside']) AS s FROM cutoffs)''')}) GROUP BY 1""")
-cte("hour_in", """SELECT *, ln(close_usd / lag(close_usd) OVER w) AS lr, avg(close_usd) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m20,
-  stddev_pop(close_usd) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s20 FROM num3600 WINDOW w AS (PARTITION BY market_id ORDER BY idx)""")
-cte("hour_rec", """SELECT market_id, idx, 0::DOUBLE AS v FROM hour_in WHERE idx = 1
-UNION ALL SELECT b.market_id, b.idx, 0.94::DOUBLE * s.v + (1 - 0.94::DOUBLE) * b.lr * b.lr FROM hour_rec s JOIN hour_in b ON b.market_id = s.market_id AND b.idx = s.idx + 1""")
-cte("ind3600", """SELECT b.market_id, b.bar_close_at, b.idx,
-  CASE WHEN b.idx >= 20 THEN CASE WHEN s20 > 0 THEN (close_usd - (m20 - 2 * s20)) / (4 * s20) ELSE 0.5 END END AS tech_bb_pct_b,
-  CASE WHEN b.idx >= 2 THEN sqrt(v / (1 - pow(0.94::DOUBLE, b.idx - 1))) END AS tech_ewma_volatility
-FROM hour_in b JOIN hour_rec i ON i.market_id = b.market_id AND i.idx = b.idx""")
-
 T60 = ("tech_rsi_14", "tech_macd", "tech_macd_signal", "tech_macd_hist", "tech_bb_upper", "tech_bb_middle", "tech_bb_lower", "tech_bb_pct_b",
        "tech_ema_12", "tech_ema_26", "tech_ema_50", "tech_ema_200", "tech_atr_14", "tech_ewma_volatility")
-T3600 = ("tech_bb_pct_b", "tech_ewma_volatility")
 STOP = "CASE horizon WHEN 'scalp_15m' THEN 10 WHEN 'swing_24h' THEN 60 ELSE 300 END"
 
 
@@ -66,8 +57,8 @@ SELECT d.market_id, d.horizon, d.cutoff_at, COALESCE(b.idx, 0) AS bars_in_lookba
   CASE WHEN may_macro THEN effr_rate END AS macro_effr_rate, CASE WHEN may_etf THEN e.flow_usd END AS etf_net_flow_usd,
   CASE WHEN may_etf THEN e.coverage_ratio END AS etf_coverage_ratio, {', '.join('n.' + c for c in NEWS)},
   COALESCE(b.idx, 0) >= 1 AS technical_active, may_macro AND (cpi_level IS NOT NULL OR effr_rate IS NOT NULL) AS macro_active,
-  may_etf AND e.flow_usd IS NOT NULL AS etf_active, n.news_active, may_macro, may_etf,
-  greatest(CASE WHEN may_macro THEN cpi_at END, CASE WHEN may_macro THEN effr_at END, CASE WHEN may_etf THEN e.available_at END,
+  may_etf AND e.flow_usd IS NOT NULL AS etf_active, n.news_active, n.may_news, may_macro, may_etf,
+  greatest(CASE WHEN may_macro THEN cpi_at END, CASE WHEN may_macro THEN effr_at END, CASE WHEN may_etf THEN e.available_at END, n.newest_at,
     b.bar_close_at + INTERVAL 2 SECOND) AS used,
   CASE WHEN may_macro THEN (cpi_level IS NOT NULL)::INT + (effr_rate IS NOT NULL)::INT ELSE 0 END
     + (may_etf AND e.flow_usd IS NOT NULL)::INT + greatest(n.lineage_size, 0) AS lineage_size,
@@ -83,7 +74,6 @@ MODE = """CASE WHEN technical_active AND macro_active AND etf_active AND news_ac
   WHEN technical_active AND macro_active AND NOT etf_active AND news_active THEN 'CORE_NO_ETF'
   WHEN technical_active AND macro_active AND NOT etf_active AND NOT news_active THEN 'TECH_MACRO' END"""
 cte("snap60", snap("ind60", T60, "b.close_usd AS tech_close, b.volume AS tech_volume,"))
-cte("snap3600", snap("ind3600", T3600))
 _two = lambda c: f"CASE WHEN bars_in_lookback >= 2 THEN {c} END" if c in ("tech_close", "tech_volume") else c
 _sc = ("tech_close", "tech_volume", *T60, "macro_cpi_level", "macro_cpi_mom_pct", "macro_effr_rate", "etf_net_flow_usd", "etf_coverage_ratio", *NEWS)
 ORACLES["feature_snapshot"] = f"""SELECT {K}, bars_in_lookback, {', '.join(f'{r(_two(c), 4)} AS {c}' for c in _sc)},
@@ -96,15 +86,15 @@ cte("qual", f"""SELECT *, {MODE} AS mode,
   CASE WHEN technical_active THEN {FRESH} ELSE 0 END::DOUBLE AS technical_freshness,
   CASE WHEN may_macro THEN 1 ELSE 0 END::DOUBLE AS macro_validity, macro_active::INT::DOUBLE AS macro_completeness, macro_active::INT::DOUBLE AS macro_freshness,
   CASE WHEN may_etf THEN 1 ELSE 0 END::DOUBLE AS etf_validity, CASE WHEN etf_active THEN greatest(0, least(1, etf_coverage_ratio)) ELSE 0 END AS etf_completeness,
-  etf_active::INT::DOUBLE AS etf_freshness, 1::DOUBLE AS news_validity, news_active::INT::DOUBLE AS news_completeness, news_active::INT::DOUBLE AS news_freshness
-FROM snap3600""")
+  etf_active::INT::DOUBLE AS etf_freshness, may_news::INT::DOUBLE AS news_validity, news_active::INT::DOUBLE AS news_completeness, news_active::INT::DOUBLE AS news_freshness
+FROM snap60""")
 _qs = [f"{p}_{n}" for p in P4 for n in ("validity", "completeness", "freshness")]
 ORACLES["pillar_quality"] = f"SELECT {K}, {', '.join(f'{r(c)} AS {c}' for c in _qs)} FROM qual"
 ORACLES["coverage_mode"] = f"""SELECT horizon, {', '.join(f'{p}_active' for p in P4)}, COALESCE(mode, 'UNSUPPORTED') AS mode, mode IS NOT NULL AS full_serves,
   count(*) AS n FROM qual GROUP BY ALL"""
-ORACLES["pit_leak_audit"] = f"SELECT count(*) AS n_rows, {ts('max(used)')} AS newest, count(*) FILTER (used > cutoff_at) AS leaks FROM snap3600"
+ORACLES["pit_leak_audit"] = f"SELECT count(*) AS n_rows, {ts('max(used)')} AS newest, count(*) FILTER (used > cutoff_at) AS leaks FROM snap60"
 ORACLES["schema_compat"] = f"""SELECT {K}, tech_bb_pct_b IS NOT NULL AND macro_cpi_mom_pct IS NOT NULL AND etf_net_flow_usd IS NOT NULL
-  AND news_sentiment IS NOT NULL AS compatible FROM snap3600"""
+  AND news_sentiment IS NOT NULL AS compatible FROM snap60"""
 
 # ---- blackout -----------------------------------------------------------------------------
 HIT = """c.scheduled_at - INTERVAL 5 MINUTE <= d.cutoff_at AND (c.first_seen_at IS NULL
@@ -136,13 +126,13 @@ def theta(v, iv=60):
 
 
 ORACLES["economic_hurdle"] = f"""SELECT market_id, {ts('bar_close_at')} AS bar_close_at, horizon, {r(theta('v'))} AS theta, {r(theta('v', 3600))} AS theta_hourly
-FROM (SELECT *, COALESCE(tech_ewma_volatility, -1) / 100 AS v FROM ind3600), (SELECT unnest([{', '.join(repr(h) for h in HZ)}]) AS horizon)"""
+FROM (SELECT *, COALESCE(tech_ewma_volatility, -1) AS v FROM ind60), (SELECT unnest([{', '.join(repr(h) for h in HZ)}]) AS horizon)"""
 ORACLES["outcome_labels"] = f"""
 SELECT {K}, {r('theta')} AS theta, CASE WHEN x > 0 AND e > 0 THEN CASE WHEN ln(x / e) > theta THEN 'UP' WHEN ln(x / e) < -theta THEN 'DOWN' ELSE 'FLAT' END END AS outcome
-FROM (SELECT d.*, t.price_usd AS x, {theta('COALESCE(v, 0) / 100')} AS theta FROM
+FROM (SELECT d.*, t.price_usd AS x, {theta('COALESCE(v, 0)')} AS theta FROM
   (SELECT d.*, t.price_usd AS e FROM (SELECT d.*, b.tech_ewma_volatility AS v, d.cutoff_at + to_seconds({DELAY}) AS ef,
       d.cutoff_at + to_seconds({DELAY}) + to_seconds({FORECAST}) AS xf FROM f_decisions d
-      ASOF LEFT JOIN (SELECT *, bar_close_at + INTERVAL 2 SECOND AS avail FROM ind3600) b ON b.market_id = d.market_id AND d.cutoff_at >= b.avail) d
+      ASOF LEFT JOIN (SELECT *, bar_close_at + INTERVAL 2 SECOND AS avail FROM ind60) b ON b.market_id = d.market_id AND d.cutoff_at >= b.avail) d
    ASOF LEFT JOIN f_trades t ON t.market_id = d.market_id AND d.ef <= t.event_time) d
   ASOF LEFT JOIN f_trades t ON t.market_id = d.market_id AND d.xf <= t.event_time)"""
 

@@ -1,4 +1,4 @@
-"""Every cheap registered query against its DuckDB text on the smallest tables."""
+"""Every registered query against its DuckDB text on the smallest tables."""
 
 import math
 import os
@@ -9,9 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF
 
-HEAVY = {"signals", "feature_snapshot", "pillar_quality", "coverage_mode", "pit_leak_audit", "schema_compat", "news_neardup_kept",
-         "news_features", "tech_ema", "tech_macd", "tech_rsi", "tech_atr", "tech_bollinger", "pillar_dataset"}
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else sorted(set(entry.oracle_sql()) - HEAVY) + ["signals"]
+NAMES = sorted(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")

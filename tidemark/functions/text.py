@@ -44,10 +44,10 @@ def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
 
 
 def clean_title(c: Column | str) -> dict[str, Column]:
-    """Drop control characters other than newline and tab, cut at the title limit."""
+    """Drop control characters other than newline and tab, cut at the title limit; `full` is the text before the cut."""
     cleaned = F.regexp_replace(col(c), r"[\p{C}&&[^\n\t]]", "")
     return {"title": F.substring(cleaned, 1, TITLE_LIMIT),
-            "truncated": F.length(cleaned) > TITLE_LIMIT}
+            "truncated": F.length(cleaned) > TITLE_LIMIT, "full": cleaned}
 
 
 @F.pandas_udf(T.StringType())

@@ -22,13 +22,13 @@ def shingles(title: Column | str) -> Column:
     return F.array_distinct(F.transform(ngrams(words(title), 3, "\x1f"), lambda g: F.xxhash64(g)))
 
 
-def text_classes(items: DataFrame) -> DataFrame:
+def text_classes(items: DataFrame, body: str | None = None) -> DataFrame:
     """record_id, class_id, shingles, n. Records with equal shingle sets share a class.
 
-    class_id is NULL for texts too short to match anything.
+    class_id is NULL for texts too short to match anything. `body` names the whole text; without it the title counts.
     """
-    d = spread(items.select("record_id", "title")).select(
-        "record_id", F.array_sort(shingles("title")).alias("shingles"))
+    d = spread(items.select("record_id", F.coalesce(body or "title").alias("body"))).select(
+        "record_id", F.array_sort(shingles("body")).alias("shingles"))
     n = F.size("shingles")
     return d.withColumn("n", n).withColumn(
         "class_id", F.when(n > 0, F.md5(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ","))))
@@ -62,21 +62,6 @@ def similar_pairs(classes: DataFrame, threshold: float = JACCARD_MIN) -> DataFra
         F.col("other_id").alias("class_id"), F.col("class_id").alias("other_id"), "jaccard"))
 
 
-def similar_item_pairs(items: DataFrame, classes: DataFrame, similar: DataFrame) -> DataFrame:
-    """Pairs of records (earlier, later) that count as near-duplicates of different wording."""
-    d = items.join(classes.select("record_id", "class_id"), "record_id").select(
-        "asset", "record_id", "class_id", "status", "source_observed_at", "available_at", "event_id")
-    o = d.select(*[F.col(c).alias(f"o_{c}") for c in d.columns])
-    order = F.struct("available_at", "event_id", "record_id")
-    o_order = F.struct("o_available_at", "o_event_id", "o_record_id")
-    return (d.join(similar, "class_id")
-            .join(o, (F.col("other_id") == F.col("o_class_id")) & (F.col("asset") == F.col("o_asset")))
-            .where(F.col("status").eqNullSafe(F.col("o_status")) & (order < o_order)
-                   & (F.abs(seconds_between("source_observed_at", "o_source_observed_at")) <= SIMILAR_WITHIN_S))
-            .select("asset", F.col("record_id").alias("earlier_id"), F.col("o_record_id").alias("later_id"),
-                    "jaccard"))
-
-
 def suppress_near_duplicates(events: DataFrame, similar: DataFrame, slot: list[str]) -> DataFrame:
     """Add `kept`: an event is dropped when a kept earlier event of the same slot and status is
     similar and was observed at most 48 hours apart. Order: (available_at, event_id).

@@ -110,7 +110,8 @@ def block_gate(slots: DataFrame, polls: DataFrame, approved_model: str) -> DataF
     age = seconds_between("poll.checked_at", "cutoff_at")
     ok = (F.col("poll").isNotNull() & ~F.coalesce("poll.coverage_capped", F.lit(True))
           & (F.col("poll.model_version") == approved_model) & (age < POLL_STOP_S))
-    p = p.select("asset", "cutoff_at", F.coalesce(ok, F.lit(False)).alias("open"), age.alias("poll_age_s"))
+    p = p.select("asset", "cutoff_at", F.coalesce(ok, F.lit(False)).alias("open"), age.alias("poll_age_s"),
+                 F.col("poll.checked_at").alias("checked_at"))
     return slots.select(*SLOT).distinct().join(p, ["asset", "cutoff_at"], "left")
 
 
@@ -124,7 +125,7 @@ def retained_events(slots: DataFrame, items: DataFrame, classes: DataFrame, simi
     `classes` maps record_id to the text class, `similar` lists similar class pairs.
     """
     d = items.join(classes.select("record_id", "class_id"), "record_id", "left")
-    events = latest_events(visible_items(slots, news_versions(d.drop("title", "title_truncated")),
+    events = latest_events(visible_items(slots, news_versions(d.drop("title", "title_truncated", "body")),
                                          ITEM_COLUMNS), ITEM_COLUMNS)
     return suppress_near_duplicates(events, similar, SLOT)
 
@@ -134,14 +135,14 @@ def share(flag: Column, count: Column) -> Column:
 
 
 def news_features(slots: DataFrame, items: DataFrame, polls: DataFrame, classes: DataFrame,
-                  similar: DataFrame, approved_model: str = "m1", rights_allowed: bool = True) -> DataFrame:
+                  similar: DataFrame, rights: DataFrame, approved_model: str = "m1") -> DataFrame:
     """The ten news scalars per (asset, horizon, cutoff); NULL when closed.
 
-    An open slot without events is an active block of zeros. A slot whose candidate search
+    `rights` has news_allowed per cutoff_at; a cutoff without it is closed. An open slot without events is an active block of zeros. A slot whose candidate search
     passes the limit is closed.
     """
-    gate = block_gate(slots, polls, approved_model).withColumn(
-        "open", F.col("open") & F.lit(rights_allowed))
+    gate = (block_gate(slots, polls, approved_model).join(rights.select("cutoff_at", "news_allowed"), "cutoff_at", "left")
+            .withColumn("open", F.col("open") & F.coalesce("news_allowed", F.lit(False))))
     open_slots = gate.where("open")
     judged = retained_events(open_slots, items, classes, similar)
     kept = judged.where("kept")
@@ -158,9 +159,10 @@ def news_features(slots: DataFrame, items: DataFrame, polls: DataFrame, classes:
         F.sum(F.col("_short").cast("int")).alias("_ns"),
         F.sum(F.when(F.col("language") != "English", 1).otherwise(0)).alias("_nx"),
         F.sum(F.when(F.col("status") == "RUMOR", 1).otherwise(0)).alias("_nr"),
-        F.sum(F.when(F.col("status") == "CORRECTED", 1).otherwise(0)).alias("_nc"))
+        F.sum(F.when(F.col("status") == "CORRECTED", 1).otherwise(0)).alias("_nc"),
+        F.max("available_at").alias("_at"))
     publishers = F.count("_w")
-    part = F.least(F.lit(PUBLISHER_SHARE), 1.0 / publishers)
+    part = F.least(F.lit(PUBLISHER_SHARE), F.try_divide(F.lit(1.0), publishers))
     count = F.sum("_n")
     per_slot = per_publisher.groupBy(*SLOT).agg(
         F.coalesce(F.sum(F.col("_sw") / F.col("_w")) * part, F.lit(0.0)).alias("news_sentiment"),
@@ -170,7 +172,7 @@ def news_features(slots: DataFrame, items: DataFrame, polls: DataFrame, classes:
         F.coalesce(part * publishers, F.lit(0.0)).alias("news_weight_coverage"),
         (F.sum("_nr") / count).alias("news_rumor_share"),
         (F.sum("_nc") / count).alias("news_correction_share"),
-        F.sum("_nx").cast("double").alias("news_non_english_count"))
+        F.sum("_nx").cast("double").alias("news_non_english_count"), F.max("_at").alias("_newest"))
     zero = ["news_sentiment", "news_event_count", "news_short_event_count", "news_publisher_count",
             "news_weight_coverage", "news_rumor_share", "news_correction_share", "news_non_english_count"]
     d = (gate.join(per_slot, SLOT, "left")
@@ -181,7 +183,8 @@ def news_features(slots: DataFrame, items: DataFrame, polls: DataFrame, classes:
         *SLOT, "news_active",
         *[F.when(on, F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in zero],
         F.when(on, (F.coalesce("news_publisher_count", F.lit(0.0)) < 4).cast("double")).alias("news_concentrated"),
-        F.when(on, F.col("poll_age_s")).alias("news_poll_age_seconds"))
+        F.when(on, F.col("poll_age_s")).alias("news_poll_age_seconds"),
+        F.when(on, F.greatest("_newest", "checked_at")).alias("news_newest_at"))
 
 
 def news_lineage(features: DataFrame, judged: DataFrame) -> DataFrame:

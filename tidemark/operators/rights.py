@@ -37,11 +37,11 @@ def rights_gate(requests: DataFrame, sources: DataFrame, policies: DataFrame,
     reason = (
         F.when(off, F.concat(F.lit("SOURCE_DISABLED: "), F.coalesce(
             "disabled_reason",
-            F.concat(F.lit("Source '"), F.col("source_id"), F.lit("' is disabled in configuration")))))
-        .when(F.col("_p").isNull(), "UNAUTHORIZED_UNKNOWN_PERMISSION: No policy registered")
-        .when(early, F.concat(F.lit("POLICY_NOT_YET_EFFECTIVE: Starts "),
+            F.concat(F.lit("Source '"), F.col("source_id"), F.lit("' is switched off")))))
+        .when(F.col("_p").isNull(), "UNAUTHORIZED_UNKNOWN_PERMISSION: none is registered")
+        .when(early, F.concat(F.lit("POLICY_NOT_YET_EFFECTIVE: valid from "),
                               F.date_format("_p.effective_from", ISO)))
-        .when(late, F.concat(F.lit("POLICY_EXPIRED: Ended "), F.date_format("_p.effective_to", ISO)))
+        .when(late, F.concat(F.lit("POLICY_EXPIRED: valid until "), F.date_format("_p.effective_to", ISO)))
         .when(granted == "PERMITTED", "AUTHORIZED")
         .when(granted == "UNKNOWN", F.concat(F.lit("UNAUTHORIZED_UNKNOWN_PERMISSION"), why))
         .otherwise(F.concat(F.lit("OPERATION_EXPLICITLY_DENIED"), why)))

@@ -19,7 +19,7 @@ def terms(text: Column | str) -> Column:
     return bind(long_words(text), lambda t: F.concat(t, ngrams(t, 2)))
 
 
-def build_vocabulary(docs: DataFrame, text: str, documents: int, size: int = 200) -> DataFrame:
+def build_vocabulary(docs: DataFrame, text: str, documents: int, size: int = MAX_VOCABULARY) -> DataFrame:
     """The most frequent terms (ties by term) with rank and idf = ln((1+N)/(1+df)) + 1.
 
     Each document lists its terms and, marked, its distinct terms; one aggregate per term with

@@ -9,6 +9,7 @@ from tidemark.functions.text import canonical_url as canonical
 from tidemark.functions.text import clean_title as clean
 from tidemark.operators import neardup, news, textmodel
 from tidemark.plans.registry import QUERIES, plain, query
+from tidemark.plans.snapshot import feed_rights
 from tidemark.session import cut_lineage
 from tidemark.sources import payloads
 from tidemark.sources import testtables as tt
@@ -24,14 +25,20 @@ def slots(spark, sf):
 
 def text_tables(items):
     """Text classes and similar pairs; both are read several times, so they are written once."""
-    classes = cut_lineage(neardup.text_classes(items))
+    classes = cut_lineage(neardup.text_classes(items, "body"))
     return classes, cut_lineage(neardup.similar_pairs(classes))
 
 
+def news_rights(spark, sf):
+    """news_allowed per distinct cutoff; a feed without a policy is denied."""
+    cutoffs = tt.decisions(spark, sf).select("cutoff_at").distinct()
+    return feed_rights(cutoffs, tt.rights_sources(spark), tt.rights_policies(spark))
+
+
 def news_block(spark, sf):
     items = tt.news_evidence(spark, sf)
     classes, similar = text_tables(items)
-    return news.news_features(slots(spark, sf), items, tt.news_polls(spark, sf), classes, similar)
+    return news.news_features(slots(spark, sf), items, tt.news_polls(spark, sf), classes, similar, news_rights(spark, sf))
 
 
 @query
@@ -120,7 +127,7 @@ def news_lineage(spark, sf):
     items = tt.news_evidence(spark, sf)
     classes, similar = text_tables(items)
     asked = slots(spark, sf)
-    block = news.news_features(asked, items, tt.news_polls(spark, sf), classes, similar)
+    block = news.news_features(asked, items, tt.news_polls(spark, sf), classes, similar, news_rights(spark, sf))
     return plain(news.news_lineage(block, news.retained_events(asked, items, classes, similar)))
 
 

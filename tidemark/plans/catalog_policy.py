@@ -22,10 +22,9 @@ from tidemark.plans.snapshot import snapshot_digest as digest
 from tidemark.sources import testtables as tt
 
 KEY = ["market_id", "horizon", "cutoff_at"]
-FLAGSHIP_INPUTS = ("tech_bb_pct_b", "tech_ewma_volatility")
 
 
-def snapshot(spark, sf, width_s=3600, technical=FLAGSHIP_INPUTS):
+def snapshot(spark, sf, width_s=60, technical=tuple(MIN_BARS)):
     return feature_snapshot(
         tt.decisions(spark, sf), bars.ohlcv(tt.trades(spark, sf), width_s), tt.macro_observations(spark, sf),
         reconcile(tt.etf_cells(spark, sf)), news_block(spark, sf), tt.rights_sources(spark),
@@ -34,7 +33,7 @@ def snapshot(spark, sf, width_s=3600, technical=FLAGSHIP_INPUTS):
 
 @query
 def signals(spark, sf):
-    """Flagship: hourly bars, four pillars as of each cutoff, fused and labelled."""
+    """Flagship: minute bars, all indicators, four pillars as of each cutoff, fused and labelled."""
     snap = snapshot(spark, sf)
     events = blackout(tt.decisions(spark, sf), tt.macro_calendar(spark, sf))
     return plain(S.signals(snap, events, tt.bundles(spark)).drop("signal_id"))
@@ -42,7 +41,7 @@ def signals(spark, sf):
 
 @query
 def feature_snapshot_query(spark, sf):
-    s = snapshot(spark, sf, 60, tuple(MIN_BARS))
+    s = snapshot(spark, sf)
     return plain(s.select(*KEY, "bars_in_lookback", *scalar_columns(s), *[f"{p}_active" for p in PILLARS], "mode",
                           (F.size("lineage") + F.coalesce("news_event_count", F.lit(0.0))).cast("bigint").alias("lineage_size")), 4)
 
@@ -55,7 +54,7 @@ def pillar_quality(spark, sf):
 
 @query
 def coverage_mode(spark, sf):
-    s = snapshot(spark, sf, technical=())
+    s = snapshot(spark, sf)
     return plain(s.groupBy("horizon", *[f"{p}_active" for p in PILLARS],
                            F.coalesce("mode", F.lit("UNSUPPORTED")).alias("mode"),
                            F.coalesce(policy.mode_serves(F.lit("FULL"), F.col("mode")), F.lit(False)).alias("full_serves"))
@@ -65,7 +64,7 @@ def coverage_mode(spark, sf):
 @query
 def pit_leak_audit(spark, sf):
     """Rows of the snapshot that use an input from after their cutoff (must be none)."""
-    s = snapshot(spark, sf, technical=())
+    s = snapshot(spark, sf)
     used = s.withColumn("used", F.greatest("newest_input_at", plus_seconds("bar_close_at", 2)))
     return plain(used.groupBy().agg(F.count(F.lit(1)).alias("n_rows"), F.max("used").alias("newest"),
                                     F.count_if(leaks_at("used", "cutoff_at")).alias("leaks")))
@@ -119,24 +118,24 @@ def freshness_decay(spark, sf):
                           policy.tape_stale("bar_close_at", "cutoff_at").alias("tape_stale")))
 
 
-def hourly_volatility(spark, sf):
-    return indicators(bars.ohlcv(tt.trades(spark, sf), 3600), ("tech_ewma_volatility",))
+def minute_volatility(spark, sf):
+    return indicators(bars.ohlcv(tt.trades(spark, sf)), ("tech_ewma_volatility",))
 
 
 @query
 def economic_hurdle(spark, sf):
-    d = hourly_volatility(spark, sf).withColumn(
+    d = minute_volatility(spark, sf).withColumn(
         "horizon", F.explode(F.array(*[F.lit(h) for h in ("scalp_15m", "swing_24h", "position_30d")])))
-    v = F.coalesce("tech_ewma_volatility", F.lit(-1.0)) / 100
+    v = F.coalesce("tech_ewma_volatility", F.lit(-1.0))
     return plain(d.select("market_id", "bar_close_at", "horizon", policy.economic_hurdle(v).alias("theta"),
                           policy.economic_hurdle(v, interval_s=3600.0).alias("theta_hourly")))
 
 
 def outcomes(spark, sf):
-    b = hourly_volatility(spark, sf)
+    b = minute_volatility(spark, sf)
     d = bars.asof_bar(tt.decisions(spark, sf), b, ["tech_ewma_volatility"])
     d = costs.outcome_prices(d.select(*KEY, "tech_ewma_volatility"), tt.trades(spark, sf))
-    theta = policy.economic_hurdle(F.coalesce("tech_ewma_volatility", F.lit(0.0)) / 100)
+    theta = policy.economic_hurdle(F.coalesce("tech_ewma_volatility", F.lit(0.0)))
     return d.withColumn("theta", theta).withColumn(
         "outcome", policy.outcome_class(F.col("entry_price"), F.col("exit_price"), F.col("theta")))
 

@@ -128,5 +128,5 @@ def oof_predictions(spark, sf):
         F.col("vec_id").alias("row_id"), (F.col("label") % 3).cast("double").alias("y"),
         array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features_vec"))
     folds = training.purged_folds(tt.target_clocks(spark, sf)).select("row_id", "fold", "role")
-    p = training.out_of_fold(e, folds, ["row_id", "y"], trees=10)
+    p = training.out_of_fold(e, folds, ["row_id", "y"])
     return plain(p)

@@ -14,11 +14,11 @@ from tidemark.operators.news import NEWS_SCALARS
 from tidemark.operators.reference import asof_etf, asof_macro
 from tidemark.operators.rights import rights_gate
 
-FEEDS = {"macro": ("bls", "cpi"), "etf": ("farside", "us_spot_etf_flows")}
+FEEDS = {"macro": ("bls", "cpi"), "etf": ("farside", "us_spot_etf_flows"), "news": ("gdelt", "article_metadata")}
 
 
 def feed_rights(cutoffs: DataFrame, sources: DataFrame, policies: DataFrame) -> DataFrame:
-    """macro_allowed and etf_allowed per cutoff for feature computation."""
+    """macro_allowed, etf_allowed and news_allowed per cutoff for feature computation."""
     asks = F.array(*[F.struct(F.lit(p).alias("feed"), F.lit(s).alias("source_id"), F.lit(d).alias("dataset_id"))
                      for p, (s, d) in FEEDS.items()])
     req = (cutoffs.withColumn("_a", F.explode(asks)).select("cutoff_at", "_a.*")
@@ -46,12 +46,12 @@ def feature_snapshot(decisions: DataFrame, bars: DataFrame, macro: DataFrame, fl
          .join(asof_etf(assets, flows), ["asset", "cutoff_at"], "left")
          .join(news, ["asset", "horizon", "cutoff_at"], "left"))
 
-    may_macro, may_etf = (F.coalesce(F.col(f"{p}_allowed"), F.lit(False)) for p in FEEDS)
+    may_macro, may_etf, may_news = (F.coalesce(F.col(f"{p}_allowed"), F.lit(False)) for p in FEEDS)
     cpi, effr, etf = F.when(may_macro, F.col("cpi")), F.when(may_macro, F.col("effr")), F.when(may_etf, F.col("etf"))
     tech_on = F.col("bars_in_lookback") >= 1
     two = F.col("bars_in_lookback") >= 2
     active = {"technical": tech_on, "macro": cpi.isNotNull() | effr.isNotNull(), "etf": etf.isNotNull(),
-              "news": F.coalesce("news_active", F.lit(False))}
+              "news": may_news & F.coalesce("news_active", F.lit(False))}
     fresh = freshness("bar_close_at", "cutoff_at", 60.0, hard_stop_s=by_horizon("tape_stop_s"))
     zero, one = F.lit(0.0), F.lit(1.0)
     on = lambda p, v: F.when(active[p], v).otherwise(zero)
@@ -62,7 +62,7 @@ def feature_snapshot(decisions: DataFrame, bars: DataFrame, macro: DataFrame, fl
         "macro": (F.when(may_macro, one).otherwise(zero), on("macro", one), on("macro", one)),
         "etf": (F.when(may_etf, one).otherwise(zero),
                 on("etf", F.greatest(zero, F.least(one, etf["coverage_ratio"]))), on("etf", one)),
-        "news": (one, on("news", one), on("news", one)),
+        "news": (F.when(may_news, one).otherwise(zero), on("news", one), on("news", one)),
     }
     # at most three records; the news records are rows of their own (operators.news.news_lineage)
     lineage = F.filter(F.array(F.concat(F.lit("macro:"), cpi["record_id"].cast("string")),
@@ -74,12 +74,12 @@ def feature_snapshot(decisions: DataFrame, bars: DataFrame, macro: DataFrame, fl
         cpi["value"].alias("macro_cpi_level"), cpi["mom_pct"].alias("macro_cpi_mom_pct"),
         effr["value"].alias("macro_effr_rate"),
         etf["flow_usd"].alias("etf_net_flow_usd"), etf["coverage_ratio"].alias("etf_coverage_ratio"),
-        *NEWS_SCALARS,
+        *[F.when(active["news"], F.col(n)).alias(n) for n in NEWS_SCALARS],
         *[active[p].alias(f"{p}_active") for p in PILLARS],
         *[q.alias(f"{p}_{n}") for p in PILLARS for n, q in zip(("validity", "completeness", "freshness"), quality[p])],
         coverage_mode(active).alias("mode"), lineage.alias("lineage"),
-        F.greatest(cpi["macro_available_at"], effr["macro_available_at"], etf["etf_available_at"])
-        .alias("newest_input_at"))
+        F.greatest(cpi["macro_available_at"], effr["macro_available_at"], etf["etf_available_at"],
+                   F.when(active["news"], F.col("news_newest_at"))).alias("newest_input_at"))
 
 
 SCALAR_PREFIXES = ("tech_", "macro_", "etf_", "news_")

@@ -160,13 +160,14 @@ def news_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (read(spark, sf_dir, "documents")
             .withColumn("title", title["title"])
             .withColumn("title_truncated", title["truncated"])
+            .withColumn("body", title["full"])
             .selectExpr(
                 "CAST(doc_id AS STRING) AS record_id",
                 "CASE WHEN doc_id % 5 = 0 THEN CONCAT('K', doc_id div 10)"
                 " ELSE CONCAT('D', doc_id) END AS source_key",
                 "doc_id % 10 AS revision",
                 "CASE WHEN (doc_id div 10) % 2 = 0 THEN 'BTC' ELSE 'ETH' END AS asset",
-                "source AS publisher", "title", "title_truncated",
+                "source AS publisher", "title", "title_truncated", "body",
                 "CASE WHEN lang = 'en' THEN 'English' ELSE lang END AS language",
                 f"{statuses} AS status",
                 "(n_chars % 201 - 100) / 100.0D AS sentiment",
@@ -335,6 +336,7 @@ def rights_policies(spark: SparkSession) -> DataFrame:
         ("binance", "spot_trades", "p_bin", "2024-01-05 00:00:00", None,
          {"COLLECT": "PERMITTED", "EXPORT_RAW": "DENIED", "TRAIN_ML": "UNKNOWN"}, "venue terms", 2),
         ("binance", "*", "p_bin_any", "2023-01-01 00:00:00", "2024-01-20 00:00:00", {"COLLECT": "PERMITTED"}, "", 1),
+        ("gdelt", "article_metadata", "p_gdelt", "2024-01-01 04:00:00", "2024-01-25 00:00:00", {"COMPUTE_FEATURES": "PERMITTED"}, "", 1),
     ]
     return (spark.createDataFrame(
         rows, "source_id string, dataset_id string, policy_id string, f string, t string,"

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.operators.ledger import PAIR, current_signal
 from tidemark.sources.tables import overwrite_batch
@@ -17,18 +16,26 @@ def streaming_current(signals: DataFrame) -> DataFrame:
     return current_signal(signals)
 
 
+def batches_of(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batch folders below a path in any store Spark can read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+    return [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+
+
 def pointer_changes(batch: DataFrame, pointer_path: str, changes_path: str, batch_id: int) -> None:
     """foreachBatch body: move the pointer and write the pairs whose signal changed.
 
     The pointer is versioned by batch, so repeating a batch reads the state before it and writes
-    the same result.
+    the same result. The state is that of the newest earlier batch, however far back; only the first batch starts without one.
     """
     spark = batch.sparkSession
     newest = current_signal(batch)
-    try:
-        held = spark.read.parquet(f"{pointer_path}/batch={batch_id - 1}") if batch_id else None
-    except AnalysisException:
-        held = None
+    earlier = [b for b in batches_of(spark, pointer_path) if b < batch_id]
+    if batch_id and not earlier:
+        raise RuntimeError(f"{pointer_path} holds no pointer before batch {batch_id}")
+    held = spark.read.parquet(f"{pointer_path}/batch={max(earlier)}") if earlier else None
     merged = newest if held is None else current_signal(held.unionByName(newest))
     overwrite_batch(merged, pointer_path, batch_id)
     before = merged.limit(0).select(*PAIR, F.col("signal_id").alias("_old")) if held is None \
