@@ -9,6 +9,7 @@ from tidemark.operators.bars import ohlcv
 from tidemark.sources import testtables as tt
 from tidemark.streaming.alerts import streaming_alerts
 from tidemark.streaming.bars import first_seen, streaming_bars
+from tidemark.sources.tables import scan
 from tidemark.streaming.ledger import pointer_changes, signal_job
 
 
@@ -87,12 +88,39 @@ def test_pointer_and_change_feed_survive_a_repeated_batch(spark, folder):
     assert spark.read.parquet(f"{folder}/c/batch=0").count() > 0
 
 
+def test_pointer_goes_on_from_the_newest_earlier_batch(spark, folder):
+    L = tt.signal_ledger(spark, SF).limit(400).collect()
+    schema = tt.signal_ledger(spark, SF).schema
+    first, second = spark.createDataFrame(L[:200], schema), spark.createDataFrame(L[200:], schema)
+    pointer_changes(first, f"{folder}/p", f"{folder}/c", 0)
+    pointer_changes(second, f"{folder}/p", f"{folder}/c", 5)   # batches 1 to 4 wrote nothing
+    got = spark.read.parquet(f"{folder}/p/batch=5").select("market_id", "horizon", "signal_id").collect()
+    want = ledger.current_signal(first.unionByName(second)).select("market_id", "horizon", "signal_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    with pytest.raises(RuntimeError):
+        pointer_changes(second, f"{folder}/lost", f"{folder}/c", 3)
+
+
+def test_stream_alerts_remember_a_signal_without_confidence(spark, folder):
+    rows = [("S0", 0, "Buy", 0.9, 0), ("S1", 1, "Sell", None, 2000), ("S2", 2, "Sell", 0.9, 4000), ("S3", 3, "Buy", 0.9, 9000)]
+    L = spark.createDataFrame(rows, "signal_id string, sequence bigint, label string, confidence double, s int").selectExpr(
+        "signal_id", "sequence", "'binance:BTCUSDT' AS market_id", "'scalp_15m' AS horizon", "label", "confidence",
+        "'READY' AS status", "false AS is_replay", "timestamp_seconds(s) AS issued_at", "timestamp_seconds(s + 90) AS expires_at")
+    subs = spark.sql("SELECT 1L AS subscription_id, 'binance:BTCUSDT' AS market_id, 'scalp_15m' AS horizon, 0.6D AS min_confidence,"
+                     " array('Buy', 'Sell') AS allowed_labels")
+    drain(streaming_alerts(replay(spark, L, folder, ["issued_at", "sequence"], 2), subs), folder, "nc")
+    got = sorted(r["signal_id"] for r in spark.table("nc").collect())
+    assert got == sorted(r["signal_id"] for r in alerts.dispatch(L, subs).collect()) == ["S0", "S3"]
+
+
 def test_signal_job_rerun_changes_nothing(spark, folder):
     d = tt.decisions(spark, SF)
-    job = signal_job(lambda b: {"signals": b.withColumn("x", F.lit(1)), "events": b.select("market_id")}, folder)
+    job = signal_job(lambda b: {"signals": b.withColumn("issued_at", F.col("cutoff_at")), "events": b.select("market_id")}, folder)
     for _ in range(2):
         job(d, 7)
-    assert spark.read.parquet(f"{folder}/signals").count() == d.count()
+    assert scan(spark, "signals", f"{folder}/signals").count() == d.count()
+    late = d.agg(F.max("cutoff_at")).first()[0]
+    assert scan(spark, "signals", f"{folder}/signals", start=late).count() == d.where(F.col("cutoff_at") == F.lit(late)).count()
     assert spark.read.parquet(f"{folder}/events").count() == d.count()
 
 

@@ -33,9 +33,14 @@ def append(df: DataFrame, table: str, path: str, sort: list[str] | None = None)
     d.write.mode("append").partitionBy("part").parquet(path)
 
 
-def overwrite_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Idempotent write of one streaming batch: a rerun replaces its own folder only."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def overwrite_batch(df: DataFrame, path: str, batch_id: int, table: str | None = None) -> None:
+    """Idempotent write of one streaming batch: a rerun replaces its own folder only. With the name of a table of LAYOUT
+    its partition folders lie inside, so that `scan` reads streams and appends alike."""
+    target = f"{path}/batch={batch_id}"
+    if table in LAYOUT:
+        with_partition(df, table).write.mode("overwrite").partitionBy("part").parquet(target)
+    else:
+        df.write.mode("overwrite").parquet(target)
 
 
 def scan(spark: SparkSession, table: str, path: str, start=None, end=None) -> DataFrame:
@@ -48,7 +53,7 @@ def scan(spark: SparkSession, table: str, path: str, start=None, end=None) -> Da
     if end is not None:
         hi = F.lit(end).cast("timestamp")
         d = d.where((F.col("part") <= F.date_trunc(unit, hi).cast("date")) & (F.col(column) <= hi))
-    return d.drop("part")
+    return d.drop("part", "batch")
 
 
 def event_envelope(bars: DataFrame, source: str = "market-collector") -> DataFrame:

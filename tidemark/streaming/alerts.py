@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.constants import CONFIDENCE_STEP, by_horizon
 from tidemark.operators.alerts import PAIR, Cooldown
 
 STATE = "label string, confidence double, last bigint, day bigint, count int"
@@ -26,21 +27,21 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         why = _why(row, label, conf)
         if why and row.wanted and gate.admit(row.us_, row.cool_):
             sent.append((*key, row.signal_id, row.sequence, row.label, row.confidence, row.at, why))
-        label, conf = row.label, row.confidence
+        label, conf = row.label, None if pd.isna(row.confidence) else float(row.confidence)
     state.update((label, conf, gate.last, gate.day, gate.count))
     names = [c.split()[0] for c in OUT.split(", ")]
     yield pd.DataFrame(sent, columns=[n.strip() for n in names])
 
 
 def _why(row, label, conf):
-    """The trigger rule for one row against the remembered predecessor."""
-    if not row.live:
+    """operators.alerts.trigger for one row against the remembered predecessor; a missing confidence sends nothing."""
+    if not row.live or pd.isna(row.confidence):
         return None
     if label is None:
         return "INITIAL_SIGNAL_TRIGGER"
     if row.label != label:
         return "LABEL_CHANGED"
-    return "CONFIDENCE_INCREASE_GE_0_10" if row.confidence - conf >= 0.10 else None
+    return "CONFIDENCE_INCREASE_GE_0_10" if conf is not None and row.confidence - conf >= CONFIDENCE_STEP else None
 
 
 def streaming_alerts(signals: DataFrame, subscriptions: DataFrame, now: str = "issued_at") -> DataFrame:
@@ -49,11 +50,10 @@ def streaming_alerts(signals: DataFrame, subscriptions: DataFrame, now: str = "i
     Signals join the subscription table of their (market, horizon); every READY signal reaches the
     state because it is the predecessor of the next one, wanted or not.
     """
-    from tidemark.constants import by_horizon
-    live = signals.where("status = 'READY' AND label IS NOT NULL AND confidence IS NOT NULL AND NOT is_replay")
+    live = signals.where("status = 'READY' AND label IS NOT NULL AND NOT is_replay")
     d = (live.join(subscriptions, PAIR)
          .withColumn("wanted", F.expr("array_contains(allowed_labels, label)")
-                     & (F.col("confidence") >= F.col("min_confidence")))
+                     & F.coalesce(F.col("confidence") >= F.col("min_confidence"), F.lit(False)))
          .withColumn("live", F.col(now) < F.col("expires_at"))
          .withColumn("us_", F.unix_micros(now)).withColumn("_us", F.unix_micros(now))
          .withColumn("cool_", (by_horizon("cooldown_s") * 1e6).cast("bigint"))

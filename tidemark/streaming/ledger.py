@@ -53,5 +53,5 @@ def signal_job(build: Callable[[DataFrame], dict[str, DataFrame]], root: str) ->
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         for name, df in build(batch).items():
-            overwrite_batch(df, f"{root}/{name}", batch_id)
+            overwrite_batch(df, f"{root}/{name}", batch_id, name)
     return run
