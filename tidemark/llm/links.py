@@ -2,7 +2,7 @@
 
 (1) Every member is compared with the smallest member of its bucket, the head. (2) Where a bucket of three or more then still lies in several
 components, its members are compared with each other: buckets that share members form clusters, a cluster is cut by a hash into blocks of about
-BLOCK_SHINGLES shingles, and one task counts the shared shingles of one pair of blocks through an inverted index. It sends only
+BLOCK_SHINGLES shingles or BLOCK_NODES members, and one task counts the shared shingles of one pair of blocks through an inverted index. It sends only
 links that join components, so no more rows leave it than nodes enter. No bucket is capped, and no similar pair of a
 bucket is missed: it ends in one component.
 """
@@ -20,6 +20,7 @@ from tidemark.llm.components import components
 from tidemark.session import cut_lineage
 
 BLOCK_SHINGLES = 1_000_000
+BLOCK_NODES = 2_000
 
 
 def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -75,10 +76,12 @@ def joining(left: tuple, right: tuple, percent: int) -> Iterator[tuple[int, int]
         return x
 
     m, n = (np.array([len(s) for s in side[2]], dtype=np.int64) for side in (left, right))
+    own, other = (np.array(side[1], dtype=np.int64) for side in (left, right))
     step = max(1, (1 << 21) // max(1, len(n)))
     for at in range(0, len(m), step):
         shared = shared_counts(left[2][at:at + step], right[2])
         similar_ = 100 * shared >= percent * (m[at:at + step, None] + n[None, :] - shared)
+        similar_ &= own[at:at + step, None] != other[None, :]
         for i, j in zip(*np.nonzero(similar_), strict=True):
             p, q = find(left[1][at + i]), find(right[1][j])
             if p != q:
@@ -86,19 +89,27 @@ def joining(left: tuple, right: tuple, percent: int) -> Iterator[tuple[int, int]
                 yield int(left[0][at + i]), int(right[0][j])
 
 
-def inside_clusters(sets: DataFrame, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """Links (a, b) of a checkpointed frame (cluster, node, part, shingles), read twice."""
-    blocks = sets.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles").cast("bigint")) / block).cast("int").alias("blocks"))
-    rows = sets.join(blocks, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
-    rows = rows.select("cluster", "node", "part", "shingles", "mine", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)).alias("other"))
-    rows = rows.select("cluster", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "part", "shingles")
+def inside_clusters(sets: DataFrame, percent: int, block: int = BLOCK_SHINGLES, nodes: int = BLOCK_NODES) -> DataFrame:
+    """Links (a, b) of a checkpointed frame (cluster, node, part, shingles), read several times.
+
+    Clusters of one block are dealt into bins of about a block, so that a task is not called for each of many small clusters."""
+    size = F.sum(F.size("shingles").cast("bigint"))
+    blocks = sets.groupBy("cluster").agg(F.greatest(F.ceil(size / block), F.ceil(F.count("*") / nodes), F.lit(1)).cast("int").alias("blocks"))
+    rows = cut_lineage(sets.join(blocks, "cluster"))
+    total = rows.where("blocks = 1").agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("s")).first()
+    bins = max(1, -(-total["n"] // nodes), -(-total["s"] // block))
+    small = rows.where("blocks = 1").select(F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("cluster"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"),
+                                            F.lit(-1).alias("mine"), "node", "part", "shingles")
+    large = rows.where("blocks > 1").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = large.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    large = large.select("cluster", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "part", "shingles")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sides = [(g["node"].tolist(), g["part"].tolist(), g["shingles"].tolist())
                  for g in (group[group["mine"] == group["lo"].iloc[0]], group[group["mine"] == group["hi"].iloc[0]])]
         return pd.DataFrame(list(joining(*sides, percent)), columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("cluster", "lo", "hi").applyInPandas(run, "a bigint, b bigint")
+    return small.unionByName(large).groupBy("cluster", "lo", "hi").applyInPandas(run, "a bigint, b bigint")
 
 
 def links(crowded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
