@@ -179,9 +179,12 @@ def test_line_dedup_deletes_all_long_repeats_and_nothing_unique(spark, k, span):
     r = random.Random(4)
     rows = [(i, "\n".join(r.choice(["a", "b", "c", "", " ", "d%d" % r.randrange(40)]) for _ in range(r.randint(0, 25)))) for i in range(80)]
     must, may = brute_lines(rows, k, span)
-    found = {x["doc_id"]: set(x["lines"]) for x in line_winnow.deletions(docs_of(spark, rows), k=k, span=span).collect()}
+    found = defaultdict(set)
+    for x in line_winnow.deletions(docs_of(spark, rows), k=k, span=span).collect():
+        found[x["doc_id"]].add(x["line"])
+        assert x["kept_doc_id"] <= x["doc_id"]
     for d, _ in rows:
-        assert must[d] <= found.get(d, set()) <= may[d]
+        assert must[d] <= found[d] <= may[d]
 
 
 def test_line_dedup_keeps_columns_and_null_rows(spark, odd):

@@ -55,7 +55,7 @@ def fingerprints(text: str, k: int = K, span: int = SPAN) -> list[tuple[str, int
 
 
 def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, span: int = SPAN) -> DataFrame:
-    """(doc_id, text_key, lines, kept_doc_ids): line numbers (from 0) to delete from a text, and the documents that keep them.
+    """(doc_id, text_key, line, kept_doc_id): lines (numbered from 0) to delete from a text, and the first document that keeps each.
 
     text_key is xxhash64 of the text, so that rows of one key with different texts are told apart."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_key"),
@@ -77,7 +77,7 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     first = prints.groupBy("a", "b").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").select("a", "b", "first")
     later = prints.join(first, ["a", "b"]).where(here > F.col("first"))
     found = later.select("doc_id", "text_key", F.explode("lines").alias("line"), F.col("first.doc_id").alias("kept"))
-    return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.sort_array(F.collect_set("kept")).alias("kept_doc_ids"))
+    return found.groupBy("doc_id", "text_key", "line").agg(F.min("kept").alias("kept_doc_id"))
 
 
 def without_lines(text: str, lines: list[int]) -> str:
@@ -87,13 +87,13 @@ def without_lines(text: str, lines: list[int]) -> str:
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, span: int = SPAN) -> DataFrame:
     """The documents without the deleted lines."""
-    marks = deletions(docs, key, text, k, span).select("doc_id", "text_key", F.col("lines").alias("cut"))
+    marks = deletions(docs, key, text, k, span).groupBy("doc_id", "text_key").agg(F.collect_list("line").alias("cut"))
     return rewritten(docs, marks, without_lines, key, text)
 
 
 def op4_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deleted lines of each document, with the documents that keep them."""
-    return deletions(read(spark, sf_dir, "documents")).select("doc_id", "lines", "kept_doc_ids")
+    """Deleted lines of all documents, with the first document that keeps each."""
+    return deletions(read(spark, sf_dir, "documents")).select("doc_id", "line", "kept_doc_id")
 
 
 ORACLE = f"""
@@ -110,5 +110,5 @@ f AS (SELECT doc_id, line AS place, gram AS key, [line, l2] AS lines FROM c
       UNION ALL SELECT doc_id, line, md5('R1' || h || h2 || h3), [line, l2, l3] FROM c WHERE h3 IS NOT NULL),
 p AS (SELECT key, min((doc_id, place)) AS first FROM f GROUP BY key),
 d AS (SELECT f.doc_id, unnest(lines) AS line, first[1] AS kept FROM f JOIN p USING (key) WHERE (f.doc_id, place) > first)
-SELECT doc_id, list_sort(list_distinct(list(line))) AS lines, list_sort(list_distinct(list(kept))) AS kept_doc_ids FROM d GROUP BY doc_id
+SELECT doc_id, line, min(kept) AS kept_doc_id FROM d GROUP BY doc_id, line
 """
