@@ -375,6 +375,37 @@ def test_passages_of_fifty_words_are_always_caught_and_clean_text_is_left(spark)
         assert sum(w not in kept for w in gone) <= 3   # a similar paragraph may reach beyond the passage
 
 
+def test_every_word_of_a_planted_passage_goes(spark):
+    """Passages of 50 to 80 words at the start, inside and at the end of a text, and as the whole text."""
+    rows, planted = [], {}
+    for i in range(24):
+        passage = rng_words(500 + i, 50 + 10 * (i % 4), 10 ** 6)
+        own = [rng_words(600 + 4 * i + k, 60, 10 ** 6) for k in range(4)]
+        rows.append((2 * i + 1, " ".join(own[0] + passage + own[1])))
+        before, after = own[2] if i % 3 else [], own[3] if i % 2 else []
+        rows.append((2 * i + 2, "  ".join(before + passage + after)))
+        planted[2 * i + 2] = before + after
+    found = defaultdict(list)
+    for r in paragraph_minhash.repeated_spans(docs_of(spark, rows)).collect():
+        assert r["kept_doc_ids"] == [r["doc_id"] - 1]
+        found[r["doc_id"]].append(r.asDict())
+    for d, text in rows:
+        if d in planted:
+            left, own = paragraph_minhash.without_spans(text, found[d]).split(), planted[d]
+            assert set(left) <= set(own) and len(own) - len(left) <= 6   # a similar paragraph may reach beyond either end
+    assert set(found) == set(planted)
+
+
+def test_passages_grow_by_any_earlier_document(spark):
+    """The first document has the middle of the passage only; what the third shares with the second beyond it goes too."""
+    passage = rng_words(700, 80, 10 ** 6)
+    own = [rng_words(701 + k, 60, 10 ** 6) for k in range(6)]
+    rows = [(1, " ".join(own[0] + passage[15:65] + own[1])), (2, " ".join(own[2] + passage + own[3])), (3, " ".join(own[4] + passage + own[5]))]
+    left = {r["doc_id"]: r["text"].split() for r in paragraph_minhash.deduplicated(docs_of(spark, rows)).collect()}
+    assert not set(left[3]) & set(passage) and len(left[3]) >= 114
+    assert set(left[2]) & set(passage) <= set(passage[:15] + passage[65:]) and len(left[2]) >= 144
+
+
 def test_edited_passages_join_one_component(spark):
     base = rng_words(77, 400, 10 ** 6)
     rows = [(1, " ".join(base))] + [(i, edited(base, 3, i)) for i in range(2, 12)]
