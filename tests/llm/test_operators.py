@@ -197,6 +197,24 @@ def test_line_dedup_keeps_columns_and_null_rows(spark, odd):
     assert got(line_winnow.deduplicated(some)) == [(1, "a\nb\nc\nd"), (2, "x\ny")]
 
 
+def test_pipeline_deletes_every_repeated_pair_and_long_single_line(spark):
+    r = random.Random(8)
+    foot, lines = "this footer stands under every text", ["p%d q%d" % (i, i) for i in range(30)] + ["one two three four five %d" % i for i in range(8)]
+    rows = [(i, "\n".join([*(r.choice(lines) for _ in range(r.randrange(1, 9))), f"own {i}", foot, f"end {i}"])) for i in range(60)] + [(99, foot)]
+    seen_lines, seen_pairs, want = set(), set(), {}
+    for d, text in rows:
+        x = text.split("\n")
+        gone = {i for i, line in enumerate(x) if line in seen_lines or seen_lines.add(line) if len(line.split()) >= line_winnow.LINE_WORDS}
+        for i, pair in enumerate(zip(x, x[1:], strict=False)):
+            if pair in seen_pairs:
+                gone |= {i, i + 1}
+            seen_pairs.add(pair)
+        want[d] = "\n".join(line for i, line in enumerate(x) if i not in gone)
+    out = corpus_pipeline.line_dedup(spark, docs_of(spark, rows), SF)
+    assert got(out) == sorted(((d, t) for d, t in want.items() if t), key=str)
+    assert sum(foot in r["text"] for r in out.collect()) == 1
+
+
 # 5
 
 def test_language_is_told_for_held_out_documents(spark):
