@@ -76,7 +76,7 @@ MODE = """CASE WHEN technical_active AND macro_active AND etf_active AND news_ac
 cte("snap60", snap("ind60", T60, "b.close_usd AS tech_close, b.volume AS tech_volume,"))
 _two = lambda c: f"CASE WHEN bars_in_lookback >= 2 THEN {c} END" if c in ("tech_close", "tech_volume") else c
 _sc = ("tech_close", "tech_volume", *T60, "macro_cpi_level", "macro_cpi_mom_pct", "macro_effr_rate", "etf_net_flow_usd", "etf_coverage_ratio", *NEWS)
-ORACLES["feature_snapshot"] = f"""SELECT {K}, bars_in_lookback, {', '.join(f'{r(_two(c), 4)} AS {c}' for c in _sc)},
+ORACLES["feature_snapshot"] = f"""SELECT {K}, bars_in_lookback, {', '.join(f'{r(_two(c))} AS {c}' for c in _sc)},
   {', '.join(f'{p}_active' for p in P4)}, {MODE} AS mode, CAST(lineage_size AS BIGINT) AS lineage_size FROM snap60"""
 
 FRESH = "CASE WHEN age >= stop_s THEN 0 WHEN age <= 60 THEN 1 ELSE pow(2::DOUBLE, -(age - 60) / 3600) END"

@@ -1,16 +1,23 @@
 """Streams replayed from files give the batch result."""
 
+from dataclasses import replace
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidemark.operators import alerts, ledger
 from tidemark.operators.bars import ohlcv
+from tidemark.operators.indicators import MIN_BARS, continued_indicators, indicators, number_bars
+from tidemark.plans.catalog_streams import feeds
+from tidemark.session import cut_lineage
 from tidemark.sources import testtables as tt
 from tidemark.streaming.alerts import streaming_alerts
 from tidemark.streaming.bars import first_seen, streaming_bars
 from tidemark.sources.tables import scan
 from tidemark.streaming.ledger import pointer_changes, signal_job
+from tidemark.streaming.signal_job import SignalJob
 
 
 def replay(spark, df, folder, order, parts=3):
@@ -134,3 +141,44 @@ def test_daily_quota(spark, reset, expected):
     subs = spark.sql("SELECT 1L AS subscription_id, 'binance:BTCUSDT' AS market_id, 'scalp_15m' AS horizon, 0.6D AS min_confidence,"
                      " array('Buy', 'Sell') AS allowed_labels")
     assert alerts.dispatch(L, subs, daily_reset=reset).count() == expected
+
+
+def test_indicators_go_on_from_the_saved_end(spark):
+    """Any cut of the series into batches gives the indicators of the whole series."""
+    series = number_bars(ohlcv(tt.trades(spark, SF), 3600))
+    want = {(r["market_id"], r["idx"]): r for r in indicators(series).collect()}
+    tail, seen = None, 0
+    for lo, hi in ((1, 3), (4, 33), (34, 34), (35, 300), (301, 10**9)):
+        new = series.where(F.col("idx").between(lo, hi)).withColumn("_pos", F.col("idx") - (lo - 1))
+        got = continued_indicators(new, tail)
+        for r in got.collect():
+            seen += 1
+            for n in MIN_BARS:
+                a, b = r[n], want[r["market_id"], r["idx"]][n]
+                assert (a is None) == (b is None) and (a is None or abs(a - b) <= 1e-9 * max(1, abs(b))), (n, r["idx"])
+        rows = got if tail is None else got.unionByName(tail.drop("_last"))
+        top = rows.groupBy("market_id").agg(F.max("idx").alias("_top"))
+        tail = cut_lineage(rows.join(top, "market_id").where("idx > _top - 20").withColumn("_last", F.col("idx") == F.col("_top")).drop("_top"))
+    assert seen == len(want)
+
+
+def test_signal_job_rerun_of_a_batch_changes_nothing(spark, folder):
+    series = ohlcv(tt.trades(spark, SF), 3600)
+    start = series.agg(F.min("bar_close_at")).first()[0]
+    days = lambda n: F.lit(start) + F.expr(f"INTERVAL {n} DAYS")
+    full = feeds(spark, SF)
+    job = SignalJob(replace(full, decisions=full.decisions.where(F.col("cutoff_at") < days(2)), items=full.items.limit(0),
+                            technical=("tech_ema_12", "tech_bb_pct_b", "tech_ewma_volatility")), folder)
+    first, second = series.where(F.col("bar_close_at") < days(1)), series.where(F.col("bar_close_at").between(days(1), days(2)))
+    job(first, 0)
+    job(second.unionByName(first), 1)   # late and repeated bars are dropped
+    once = sorted(map(str, spark.read.parquet(f"{folder}/signals").drop("part").collect()))
+    job(second, 1)
+    assert sorted(map(str, spark.read.parquet(f"{folder}/signals").drop("part").collect())) == once
+    job.finish(spark, start + timedelta(days=2), 2)
+    got = spark.read.parquet(f"{folder}/signals")
+    assert got.count() == got.select("market_id", "horizon", "cutoff_at").distinct().count() == job.feeds.decisions.where(F.col("cutoff_at") <= days(2)).count()
+    assert sorted(r[0] for r in got.select("sequence").collect()) == list(range(1, got.count() + 1))
+    events = spark.read.parquet(f"{folder}/events")
+    assert events.select("dedupe_key").distinct().count() == got.count()
+    assert events.select(F.get_json_object("payload", "$.sequence").cast("bigint").alias("s")).agg(F.max("s")).first()[0] == got.count()

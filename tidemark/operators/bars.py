@@ -80,11 +80,12 @@ def with_availability(bars: DataFrame) -> DataFrame:
     return bars.withColumn("bar_available_at", plus_seconds("bar_close_at", BAR_DELAY_S))
 
 
-def asof_bar(decisions: DataFrame, bars: DataFrame, payload: list[str]) -> DataFrame:
+def asof_bar(decisions: DataFrame, bars: DataFrame, payload: list[str], earlier: DataFrame | None = None) -> DataFrame:
     """Last bar usable at each cutoff: closed two seconds before it and inside the look-back.
 
     Bars must carry `idx`, their position in the market. `bars_in_lookback` counts the usable
-    bars of the look-back window; bars that close before its start are subtracted.
+    bars of the look-back window; bars that close before its start are subtracted. `earlier` names the bars (market_id, bar_close_at, idx)
+    that may close before it, where `bars` holds the newest ones only.
     """
     b = with_availability(bars)
     names = list(dict.fromkeys(["bar_close_at", "idx", *payload]))
@@ -92,7 +93,7 @@ def asof_bar(decisions: DataFrame, bars: DataFrame, payload: list[str]) -> DataF
              "cutoff_at", "bar_available_at", names)
     first = F.col("cutoff_at") - F.expr(f"INTERVAL {LOOKBACK_DAYS} DAYS")
     d = d.withColumn("_from", first)
-    b0 = b.select("market_id", F.col("bar_close_at").alias("_close0"), F.col("idx").alias("_idx0"))
+    b0 = (bars if earlier is None else earlier).select("market_id", F.col("bar_close_at").alias("_close0"), F.col("idx").alias("_idx0"))
     d = asof(d, b0, ["market_id"], "_from", "_close0", ["_idx0"], strict=True,
              probe=decisions.select("market_id", first.alias("_from")))
     inside = F.col("bar_close_at") >= F.col("_from")

@@ -55,11 +55,12 @@ def _wilder(name: str, x: Column, n: int) -> Affine:
     return Affine(name, a, seeded(x, F.col("idx"), 2, n, a, 1.0 / n))
 
 
-def indicators(bars: DataFrame, wanted: tuple[str, ...] = tuple(MIN_BARS)) -> DataFrame:
-    """Bars with `idx` and the wanted indicator columns; NULL until enough bars exist."""
-    need = set(wanted)
-    d = bars if "idx" in bars.columns else number_bars(bars)
-    d = with_blocks(d, "idx", BLOCK_ROWS, HALO)
+def _recurrences(d: DataFrame, need: set[str], position: str, carried: bool) -> tuple[DataFrame, list[str]]:
+    """Own rows of blocked bars with every raw column of `need`, and the names of the recurrences that ran.
+
+    `position` numbers the rows that are scanned, `idx` is the place of a bar in its market. With `carried` the first row scanned goes on from
+    the values `_y_<name>` of the bar before it.
+    """
     by = ["market_id"]
     order = Window.partitionBy("market_id", "_block").orderBy("idx")
     back20 = order.rowsBetween(-HALO, 0)
@@ -69,6 +70,15 @@ def indicators(bars: DataFrame, wanted: tuple[str, ...] = tuple(MIN_BARS)) -> Da
         d = (d.withColumn("tech_bb_middle", F.avg("close_usd").over(back20))
              .withColumn("_sd", F.stddev_pop("close_usd").over(back20)))
     d = d.where("_own")
+    ran: list[str] = []
+
+    def scan(d: DataFrame, specs: list[Affine]) -> DataFrame:
+        ran.extend(s.name for s in specs)
+        if carried:
+            first = F.col(position) == 1
+            specs = [Affine(s.name, s.a, F.coalesce(s.b, F.lit(0.0)) + F.when(
+                first, F.lit(s.a) * F.coalesce(F.col(f"_y_{s.name}"), F.lit(0.0))).otherwise(0.0)) for s in specs]
+        return affine_scan(d, by, position, BLOCK_ROWS, specs)
 
     change = close - F.col("_prev")
     true_range = F.greatest(F.col("high_usd") - F.col("low_usd"),
@@ -90,28 +100,54 @@ def indicators(bars: DataFrame, wanted: tuple[str, ...] = tuple(MIN_BARS)) -> Da
     if "tech_macd" in need:
         specs.append(_ema("_fast", close, 12, first=15))
     if specs:
-        d = affine_scan(d, by, "idx", BLOCK_ROWS, specs)
+        d = scan(d, specs)
     if "tech_macd" in need:
         d = d.withColumn("tech_macd", F.col("_fast") - F.col("tech_ema_26"))
-        d = affine_scan(d, by, "idx", BLOCK_ROWS,
-                        [_ema("tech_macd_signal", F.col("tech_macd"), 9, first=26)])
-        d = d.withColumn("tech_macd_hist", F.col("tech_macd") - F.col("tech_macd_signal"))
+        d = scan(d, [_ema("tech_macd_signal", F.col("tech_macd"), 9, first=26)])
+    return d, ran
 
-    if "_sd" in d.columns:
+
+def _finished(d: DataFrame, wanted: tuple[str, ...]) -> dict[str, Column]:
+    """The wanted indicators from raw columns; NULL until enough bars exist."""
+    need, have, idx, close = set(wanted), set(d.columns), F.col("idx"), F.col("close_usd")
+    raw = {n: F.col(n) for n in wanted if n in have}
+    raw |= {"tech_close": close, "tech_volume": F.col("volume")}
+    if "tech_macd" in need:
+        raw["tech_macd_hist"] = F.col("tech_macd") - F.col("tech_macd_signal")
+    if "_sd" in have:
         upper = F.col("tech_bb_middle") + 2.0 * F.col("_sd")
         lower = F.col("tech_bb_middle") - 2.0 * F.col("_sd")
-        d = (d.withColumn("tech_bb_upper", upper).withColumn("tech_bb_lower", lower)
-             .withColumn("tech_bb_pct_b", F.when(upper - lower > 0, (close - lower) / (upper - lower))
-                         .otherwise(0.5)))
+        raw |= {"tech_bb_upper": upper, "tech_bb_lower": lower,
+                "tech_bb_pct_b": F.when(upper - lower > 0, (close - lower) / (upper - lower)).otherwise(0.5)}
     if "tech_rsi_14" in need:
         both = F.col("_gain") + F.col("_loss")
-        d = d.withColumn("tech_rsi_14", F.when(both != 0, 100.0 * F.col("_gain") / both).otherwise(0.0))
+        raw["tech_rsi_14"] = F.when(both != 0, 100.0 * F.col("_gain") / both).otherwise(0.0)
     if "tech_ewma_volatility" in need:
         mass = 1.0 - F.pow(F.lit(EWMA_DECAY), idx - 1)
-        d = d.withColumn("tech_ewma_volatility", F.sqrt(F.greatest(
-            F.lit(0.0), F.when(mass > 1e-9, F.col("_var") / mass).otherwise(F.col("_var")))))
-    d = d.withColumn("tech_close", close).withColumn("tech_volume", F.col("volume"))
-    base = [c for c in bars.columns if c != "idx"]
-    return d.select(*base, "idx", *[F.when(idx >= MIN_BARS[n], F.col(n)).alias(n) for n in wanted])
+        raw["tech_ewma_volatility"] = F.sqrt(F.greatest(
+            F.lit(0.0), F.when(mass > 1e-9, F.col("_var") / mass).otherwise(F.col("_var"))))
+    return {n: F.when(idx >= MIN_BARS[n], raw[n]).alias(n) for n in wanted}
 
 
+def indicators(bars: DataFrame, wanted: tuple[str, ...] = tuple(MIN_BARS)) -> DataFrame:
+    """Bars with `idx` and the wanted indicator columns; NULL until enough bars exist."""
+    d = bars if "idx" in bars.columns else number_bars(bars)
+    d, _ = _recurrences(with_blocks(d, "idx", BLOCK_ROWS, HALO), set(wanted), "idx", carried=False)
+    return d.select(*[c for c in bars.columns if c != "idx"], "idx", *_finished(d, wanted).values())
+
+
+def continued_indicators(new: DataFrame, tail: DataFrame | None, wanted: tuple[str, ...] = tuple(MIN_BARS)) -> DataFrame:
+    """Indicators of new bars from the saved end of the series: the same values as from the whole series.
+
+    `new` has `idx` (place in the market) and `_pos` (1, 2, … among the new bars of the market). `tail` holds the last HALO + 1 earlier bars of
+    each market with `idx`, and on the last one the values `_y_<name>` of the recurrences, as this function returns them.
+    Work grows with the new bars only.
+    """
+    base = [c for c in new.columns if c not in ("idx", "_pos")]
+    d = with_blocks(new, "_pos", BLOCK_ROWS, HALO)
+    if tail is not None:
+        kept = [c for c in tail.columns if c.startswith("_y_")]
+        old = tail.select(*base, "idx", F.lit(0).cast("bigint").alias("_pos"), F.lit(0).cast("bigint").alias("_block"), F.lit(False).alias("_own"))
+        d = d.unionByName(old).join(tail.where(F.col("_last")).select("market_id", *kept), "market_id", "left")
+    d, ran = _recurrences(d, set(wanted), "_pos", carried=tail is not None)
+    return d.select(*base, "idx", *_finished(d, wanted).values(), *[F.col(n).alias(f"_y_{n}") for n in ran])

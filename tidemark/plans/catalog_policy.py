@@ -43,7 +43,7 @@ def signals(spark, sf):
 def feature_snapshot_query(spark, sf):
     s = snapshot(spark, sf)
     return plain(s.select(*KEY, "bars_in_lookback", *scalar_columns(s), *[f"{p}_active" for p in PILLARS], "mode",
-                          (F.size("lineage") + F.coalesce("news_event_count", F.lit(0.0))).cast("bigint").alias("lineage_size")), 4)
+                          (F.size("lineage") + F.coalesce("news_event_count", F.lit(0.0))).cast("bigint").alias("lineage_size")))
 
 
 @query

@@ -13,6 +13,7 @@ from tidemark.operators.indicators import MIN_BARS, indicators
 from tidemark.operators.news import NEWS_SCALARS
 from tidemark.operators.reference import asof_etf, asof_macro
 from tidemark.operators.rights import rights_gate
+from tidemark.session import cut_lineage
 
 FEEDS = {"macro": ("bls", "cpi"), "etf": ("farside", "us_spot_etf_flows"), "news": ("gdelt", "article_metadata")}
 
@@ -30,15 +31,19 @@ def feed_rights(cutoffs: DataFrame, sources: DataFrame, policies: DataFrame) ->
 
 def feature_snapshot(decisions: DataFrame, bars: DataFrame, macro: DataFrame, flows: DataFrame,
                      news: DataFrame, sources: DataFrame, policies: DataFrame,
-                     technical: tuple[str, ...] = tuple(MIN_BARS)) -> DataFrame:
+                     technical: tuple[str, ...] = tuple(MIN_BARS), earlier: DataFrame | None = None) -> DataFrame:
     """One wide row per (market, horizon, cutoff): scalars, active pillars, qualities, mode.
 
+    `bars` may hold the indicators already; then `earlier` lists the bars before them (operators.bars.asof_bar).
+
     Only the bar look-up depends on the market. Macro values and rights are found per distinct
     cutoff, flows and news per (asset, horizon, cutoff), and join back by equality. `news` is the
     news feature block.
     """
     d = decisions.withColumn("asset", F.when(F.col("market_id").contains("BTC"), "BTC").otherwise("ETH"))
-    d = asof_bar(d, indicators(bars, technical), list(technical))
+    # the look-up reads the indicators several times, so they are written once
+    series = bars if set(technical) <= set(bars.columns) else cut_lineage(indicators(bars, technical))
+    d = asof_bar(d, series, list(technical), earlier)
     cutoffs = decisions.select("cutoff_at").distinct()
     assets = cutoffs.withColumn("asset", F.explode(F.array(F.lit("BTC"), F.lit("ETH"))))
     per_cutoff = asof_macro(cutoffs, macro).join(feed_rights(cutoffs, sources, policies), "cutoff_at", "left")
