@@ -177,7 +177,7 @@ def test_edge_cases(spark, tagger):
     assert all((r.n_email, r.spans) == (0, "") for r in got if r.doc_id in (1, 2, 3, 6))
     assert [long[int(a):int(b)] for r in got if r.doc_id == 5 for k, a, b in [r.spans.split(",")[0].split(":")]] == ["jo at mail dot example dot org"]
     assert pii.private_spans(docs.limit(0), tagger).collect() == []
-    assert len(pii.contexts_of(docs)) == 5 and pii.contexts_of(docs.limit(0)) == []
+    assert len(pii.contexts_of(docs)) == 6 and pii.contexts_of(docs.limit(0)) == []
 
 
 def test_query_counts_and_digests(spark):
