@@ -34,8 +34,18 @@ def text_classes(items: DataFrame, body: str | None = None) -> DataFrame:
         "class_id", F.when(n > 0, F.md5(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ","))))
 
 
-def similar_pairs(classes: DataFrame, threshold: float = JACCARD_MIN) -> DataFrame:
-    """Symmetric pairs (class_id, other_id, jaccard) of different texts at or above the threshold."""
+def places_of(items: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class_id, place): asset, status and stretch of time in which a text occurs. Two records that may suppress each other share a place:
+    the stretches are as long as the rule reaches, and each record is listed in its own and the next one."""
+    stretch = F.floor(F.unix_micros("source_observed_at") / (SIMILAR_WITHIN_S * 1000000)).cast("bigint")
+    d = items.join(classes.where("class_id IS NOT NULL").select("record_id", "class_id"), "record_id")
+    return d.withColumn("_b", F.explode(F.array(stretch, stretch + 1))).select(
+        "class_id", F.xxhash64("asset", F.coalesce("status", F.lit("")), "_b").alias("place")).distinct()
+
+
+def similar_pairs(classes: DataFrame, threshold: float = JACCARD_MIN, places: DataFrame | None = None) -> DataFrame:
+    """Symmetric pairs (class_id, other_id, jaccard) of different texts at or above the threshold; with `places` only those that share one,
+    so that candidates grow with what is written within the reach of the rule, not with all history."""
     c = (classes.where("class_id IS NOT NULL")
          .groupBy("class_id").agg(F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles")))
     posting = c.select("class_id", "n", F.explode("shingles").alias("s"))
@@ -46,8 +56,11 @@ def similar_pairs(classes: DataFrame, threshold: float = JACCARD_MIN) -> DataFra
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)).cast("int") + 1
     prefix = (ranked.select("class_id", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("p"))
               .where(F.col("p.f") > 1).select("class_id", "n", F.col("p.s").alias("s")))
-    other = prefix.select(F.col("class_id").alias("other_id"), F.col("n").alias("m"), "s")
-    candidates = (prefix.join(other, "s")
+    meet = ["s"]
+    if places is not None:
+        prefix, meet = prefix.join(places, "class_id"), ["s", "place"]
+    other = prefix.select(F.col("class_id").alias("other_id"), F.col("n").alias("m"), *meet)
+    candidates = (prefix.join(other, meet)
                   .where((F.col("class_id") < F.col("other_id"))
                          & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold - 1e-9)))
                   .select("class_id", "other_id").distinct())

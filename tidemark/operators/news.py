@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.constants import HORIZONS, POLL_STOP_S, PUBLISHER_SHARE, by_horizon
+from tidemark.constants import CANDIDATE_LIMIT, HORIZONS, POLL_STOP_S, PUBLISHER_SHARE, by_horizon
 from tidemark.functions.timing import plus_seconds, seconds_between
 from tidemark.operators.neardup import over_candidate_limit, suppress_near_duplicates
 from tidemark.operators.reference import asof_poll
 from tidemark.operators.sequence import Carry, last_value, with_carry
+from tidemark.operators.slotspans import (
+    at_slot_numbers,
+    cut_at_changes,
+    grid_levels,
+    groups_of,
+    in_blocks,
+    rows_at_slots,
+    slot_blocks,
+    slot_grid,
+    with_block_start,
+)
+from tidemark.session import cut_lineage
 
 SLOT = ["asset", "horizon", "cutoff_at"]
 DAY = 86400
@@ -56,51 +68,43 @@ def news_versions(items: DataFrame, bucket_s: int = 7 * DAY) -> DataFrame:
             .drop("_b", "_rank", "_next"))
 
 
-# width of the time buckets that give the visibility join its equality key
-JOIN_BUCKET_S = {"scalp_15m": 900, "swing_24h": 10800, "position_30d": 86400}
+def visible_spans(grid: DataFrame, versions: DataFrame, columns: list[str]) -> DataFrame:
+    """Versions per horizon with the slots [first, last) at which they are current and 0 ≤ age ≤ reach, and `brief`, the first slot beyond the short reach.
 
-
-def _place(horizon: str):
-    return lambda bucket: F.struct(F.lit(horizon).alias("horizon"), bucket.alias("_bucket"))
+    The age counts from publication, or from observation without one (`clock`). Versions that no slot sees are left out.
+    """
+    clock = F.coalesce("published_at", "source_observed_at")
+    v = versions.select("asset", "valid_from", "valid_to", clock.alias("clock"), *columns).where(F.col("clock").isNotNull())
+    v = v.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS])))
+    after = lambda s: F.timestamp_micros(F.unix_micros(plus_seconds("clock", s)) + 1)
+    end = after(by_horizon("news_long_s"))
+    times = {"first": F.greatest("valid_from", "clock"), "last": F.least(F.coalesce("valid_to", end), end), "brief": after(by_horizon("news_short_s"))}
+    d = at_slot_numbers(v, grid, ["asset", "horizon"], "record_id", times)
+    return d.where("first < last").drop("valid_from", "valid_to")
+
+
+def event_spans(visible: DataFrame) -> DataFrame:
+    """Spans in which a version stands for its event: the newest (available_at, record_id) among those visible."""
+    by = ["asset", "horizon", "event_id"]
+    rest = [c for c in visible.columns if c not in (*by, "first", "last")]
+    return (cut_at_changes(visible, by, "first", "last").groupBy(*by, "first", "last")
+            .agg(F.max_by(F.struct(*rest), F.struct("available_at", "record_id")).alias("r"))
+            .select(*by, "first", "last", "r.*"))
 
 
-def visible_items(slots: DataFrame, versions: DataFrame, columns: list[str]) -> DataFrame:
-    """All (slot, item) pairs: the version is current at the cutoff and 0 ≤ age ≤ reach.
+def judged_spans(events: DataFrame, similar: DataFrame) -> DataFrame:
+    """Event spans with `kept`, false while a kept earlier event with a similar text is in force (operators.neardup).
 
-    The age counts from publication, or from observation without one. Each version is listed
-    in the buckets of the horizon's reach, so the join has an equality key of bounded width.
+    Only spans that meet another one of their group of similar texts and status are judged, per piece between two changes of that group.
     """
-    clock = F.coalesce("published_at", "source_observed_at")
-    v = versions.select("asset", "valid_from", "valid_to", clock.alias("_clock"), *columns)
-    lo = F.greatest("valid_from", "_clock")
-    places, width = [], None
-    for name, seconds in JOIN_BUCKET_S.items():
-        us = seconds * 1000000
-        end = plus_seconds("_clock", HORIZONS[name]["news_long_s"])
-        hi = F.least(F.coalesce("valid_to", end), end)
-        at = lambda t, us=us: F.floor(F.unix_micros(t) / F.lit(us)).cast("bigint")
-        places.append(F.when(lo <= hi, F.transform(
-            F.sequence(at(lo), F.greatest(at(lo), at(hi))), _place(name))).otherwise(F.array()))
-        slot = F.when(F.col("horizon") == name, F.lit(us).cast("bigint"))
-        width = slot if width is None else width.when(F.col("horizon") == name, F.lit(us).cast("bigint"))
-    listed = v.withColumn("_p", F.explode(F.concat(*places))).select(
-        "asset", "valid_from", "valid_to", "_clock", *columns, "_p.*")
-    asked = slots.select(*SLOT).distinct().withColumn(
-        "_bucket", F.floor(F.unix_micros("cutoff_at") / width).cast("bigint"))
-    age = seconds_between("_clock", "cutoff_at")
-    return (asked.join(listed, ["asset", "horizon", "_bucket"])
-            .where((F.col("valid_from") <= F.col("cutoff_at"))
-                   & (F.col("valid_to").isNull() | (F.col("cutoff_at") < F.col("valid_to")))
-                   & (age >= 0) & (age <= by_horizon("news_long_s")))
-            .select(*SLOT, age.alias("age_s"), *columns))
-
-
-def latest_events(visible: DataFrame, columns: list[str]) -> DataFrame:
-    """One item per (slot, event): the newest (available_at, record_id) wins."""
-    rest = [c for c in ["age_s", *columns] if c != "event_id"]
-    return (visible.groupBy(*SLOT, "event_id")
-            .agg(F.max_by(F.struct(*rest), F.struct("available_at", "record_id")).alias("r"))
-            .select(*SLOT, "event_id", "r.*"))
+    groups = groups_of(similar, "class_id", "other_id").select(F.col("member").alias("class_id"), F.col("group").alias("_g"))
+    e = cut_lineage(events.join(groups, "class_id", "left").withColumn("_g", F.coalesce("_g", "class_id")).withColumn("_kind", F.coalesce("status", F.lit(""))))
+    by = ["asset", "horizon", "_kind", "_g"]
+    shared = e.where(F.col("_g").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by)
+    alone = e.join(shared, by, "left_anti").withColumn("kept", F.lit(True))
+    pieces = cut_at_changes(e.join(shared, by, "left_semi"), by, "first", "last")
+    judged = suppress_near_duplicates(pieces, similar, ["asset", "horizon", "_g", "first"])
+    return cut_lineage(alone.unionByName(judged).drop("_g", "_kind"))
 
 
 def block_gate(slots: DataFrame, polls: DataFrame, approved_model: str) -> DataFrame:
@@ -119,15 +123,27 @@ ITEM_COLUMNS = ["record_id", "event_id", "available_at", "source_observed_at", "
                 "language", "sentiment", "relevance", "class_id"]
 
 
-def retained_events(slots: DataFrame, items: DataFrame, classes: DataFrame, similar: DataFrame) -> DataFrame:
-    """Events left per slot after revision choice, age filter, event and near-duplicate removal.
+def retained_spans(grid: DataFrame, items: DataFrame, classes: DataFrame, similar: DataFrame) -> DataFrame:
+    """Spans of events after revision choice, age filter and event removal, with `kept` by the near-duplicate rule.
 
     `classes` maps record_id to the text class, `similar` lists similar class pairs.
     """
     d = items.join(classes.select("record_id", "class_id"), "record_id", "left")
-    events = latest_events(visible_items(slots, news_versions(d.drop("title", "title_truncated", "body")),
-                                         ITEM_COLUMNS), ITEM_COLUMNS)
-    return suppress_near_duplicates(events, similar, SLOT)
+    versions = news_versions(d.drop("title", "title_truncated", "body"))
+    return judged_spans(event_spans(visible_spans(grid, versions, ITEM_COLUMNS)), similar)
+
+
+def closed_by_limit(judged: DataFrame, grid: DataFrame, classes: DataFrame, levels: int) -> DataFrame:
+    """Slots whose candidate search passes the limit. Only slots with more kept events than the limit are listed event by event."""
+    key = ["asset", "horizon"]
+    held = in_blocks(judged.where("kept AND class_id IS NOT NULL").select(*key, "first", "last"), "first", "last", levels)
+    held = held.groupBy(*key, "level", "block").agg(F.count(F.lit(1)).alias("n"))
+    full = (slot_blocks(grid, levels).join(held, [*key, "level", "block"]).groupBy(*SLOT, "slot").agg(F.sum("n").alias("n"))
+            .where(F.col("n") > CANDIDATE_LIMIT).drop("n"))
+    full = cut_lineage(full)
+    if full.isEmpty():
+        return full.select(*SLOT)
+    return over_candidate_limit(rows_at_slots(judged, full, key, "first", "last", levels).drop("slot"), classes, SLOT)
 
 
 def share(flag: Column, count: Column) -> Column:
@@ -135,32 +151,45 @@ def share(flag: Column, count: Column) -> Column:
 
 
 def news_features(slots: DataFrame, items: DataFrame, polls: DataFrame, classes: DataFrame,
-                  similar: DataFrame, rights: DataFrame, approved_model: str = "m1") -> DataFrame:
+                  similar: DataFrame, rights: DataFrame, approved_model: str = "m1", spans: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The ten news scalars per (asset, horizon, cutoff); NULL when closed.
 
+    `spans` may give the grid of slots and the judged spans on it. Events are spans of slots; sums are taken per publisher and block of slots (operators.slotspans), so the work does not grow with slots × events.
+
     `rights` has news_allowed per cutoff_at; a cutoff without it is closed. An open slot without events is an active block of zeros. A slot whose candidate search
     passes the limit is closed.
     """
     gate = (block_gate(slots, polls, approved_model).join(rights.select("cutoff_at", "news_allowed"), "cutoff_at", "left")
             .withColumn("open", F.col("open") & F.coalesce("news_allowed", F.lit(False))))
-    open_slots = gate.where("open")
-    judged = retained_events(open_slots, items, classes, similar)
-    kept = judged.where("kept")
-    blocked = over_candidate_limit(judged, classes, SLOT)
-
+    gate = cut_lineage(gate)
+    if spans is None:
+        grid = slot_grid(gate.where("open"), ["asset", "horizon"])
+        spans = grid, retained_spans(grid, items, classes, similar)
+    grid, judged = spans
+    levels = grid_levels(grid)
+    blocked = closed_by_limit(judged, grid, classes, levels)
+
+    # weights are kept relative to the first slot of a block, when all of its events are in force: nothing overflows or cancels
+    key = ["asset", "horizon"]
+    kept = judged.where("kept").select(*key, "publisher", "relevance", "sentiment", "clock", "available_at", "language", "status", "first", "last", "brief")
     half_life = by_horizon("news_half_life_s")
-    weight = F.col("relevance") * F.exp(-F.log(F.lit(2.0)) * F.col("age_s") / half_life)
-    w = kept.withColumn("_w", weight).withColumn("_short", F.col("age_s") <= by_horizon("news_short_s"))
+    fade = lambda t, since: F.exp(-F.log(F.lit(2.0)) * seconds_between(since, t) / half_life)
+    full = with_block_start(in_blocks(kept, "first", "last", levels), grid, key)
+    full = full.withColumn("_w", F.col("relevance") * fade("block_at", "clock")).withColumn("_short", F.lit(0))
+    brief = in_blocks(kept.withColumn("last", F.least("last", "brief")).where("first < last"), "first", "last", levels).withColumn("_short", F.lit(1))
+    one = lambda c: F.sum(F.when((F.col("_short") == 0) & c, 1).otherwise(0))
     pos = F.col("_w") > 0
-    per_publisher = w.groupBy(*SLOT, "publisher").agg(
+    per_block = full.unionByName(brief, allowMissingColumns=True).groupBy(*key, "publisher", "level", "block").agg(
         F.sum(F.when(pos, F.col("_w"))).alias("_w"),
-        F.sum(F.when(pos, F.col("_w") * F.col("sentiment"))).alias("_sw"),
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("_short").cast("int")).alias("_ns"),
-        F.sum(F.when(F.col("language") != "English", 1).otherwise(0)).alias("_nx"),
-        F.sum(F.when(F.col("status") == "RUMOR", 1).otherwise(0)).alias("_nr"),
-        F.sum(F.when(F.col("status") == "CORRECTED", 1).otherwise(0)).alias("_nc"),
+        F.sum(F.when(pos, F.col("_w") * F.col("sentiment"))).alias("_sw"), F.max("block_at").alias("block_at"),
+        one(F.lit(True)).alias("_n"), F.sum("_short").alias("_ns"), one(F.col("language") != "English").alias("_nx"),
+        one(F.col("status") == "RUMOR").alias("_nr"), one(F.col("status") == "CORRECTED").alias("_nc"),
         F.max("available_at").alias("_at"))
+    met = slot_blocks(grid, levels).join(per_block, [*key, "level", "block"])
+    faded = fade("cutoff_at", "block_at")
+    per_publisher = met.groupBy(*SLOT, "publisher").agg(
+        F.sum(F.col("_w") * faded).alias("_w"), F.sum(F.col("_sw") * faded).alias("_sw"),
+        *[F.sum(c).alias(c) for c in ("_n", "_ns", "_nx", "_nr", "_nc")], F.max("_at").alias("_at"))
     publishers = F.count("_w")
     part = F.least(F.lit(PUBLISHER_SHARE), F.try_divide(F.lit(1.0), publishers))
     count = F.sum("_n")
@@ -187,11 +216,12 @@ def news_features(slots: DataFrame, items: DataFrame, polls: DataFrame, classes:
         F.when(on, F.greatest("_newest", "checked_at")).alias("news_newest_at"))
 
 
-def news_lineage(features: DataFrame, judged: DataFrame) -> DataFrame:
+def news_lineage(features: DataFrame, judged: DataFrame, grid: DataFrame) -> DataFrame:
     """The records behind each active block, one row per (slot, record): never an array, because
     a slot may rest on any number of records."""
-    return (judged.where("kept").select(*SLOT, "record_id")
-            .join(features.where("news_active").select(*SLOT), SLOT, "left_semi"))
+    active = grid.join(features.where("news_active").select(*SLOT), SLOT, "left_semi")
+    return rows_at_slots(judged.where("kept").select("asset", "horizon", "record_id", "first", "last"), active, ["asset", "horizon"], "first", "last",
+                         grid_levels(grid)).select(*SLOT, "record_id")
 
 
 NEWS_SCALARS = ("news_non_english_count", "news_sentiment", "news_event_count", "news_short_event_count",

@@ -8,6 +8,7 @@ from tidemark.functions.checks import news_problems, violations
 from tidemark.functions.text import canonical_url as canonical
 from tidemark.functions.text import clean_title as clean
 from tidemark.operators import neardup, news, textmodel
+from tidemark.operators.slotspans import slot_grid, slot_totals
 from tidemark.plans.registry import QUERIES, plain, query
 from tidemark.plans.snapshot import feed_rights
 from tidemark.session import cut_lineage
@@ -24,9 +25,9 @@ def slots(spark, sf):
 
 
 def text_tables(items):
-    """Text classes and similar pairs; both are read several times, so they are written once."""
+    """Text classes and the similar pairs that may meet; both are read several times, so they are written once."""
     classes = cut_lineage(neardup.text_classes(items, "body"))
-    return classes, cut_lineage(neardup.similar_pairs(classes))
+    return classes, cut_lineage(neardup.similar_pairs(classes, places=neardup.places_of(items, classes)))
 
 
 def news_rights(spark, sf):
@@ -77,26 +78,25 @@ def news_append(spark, sf):
 def asof_news_versions(spark, sf):
     """Per slot: how many current versions are in reach, and sums that identify them."""
     cols = ["record_id", "event_id", "available_at", "revision"]
-    v = news.visible_items(slots(spark, sf), news.news_versions(tt.news_evidence(spark, sf).drop("title")), cols)
-    return plain(v.groupBy("asset", "horizon", "cutoff_at").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("revision").alias("revisions"),
-        F.sum(F.col("record_id").cast("bigint")).alias("record_sum"), F.max("available_at").alias("newest")))
+    grid = slot_grid(slots(spark, sf), ["asset", "horizon"])
+    v = news.visible_spans(grid, news.news_versions(tt.news_evidence(spark, sf).drop("title")), cols)
+    return plain(slot_totals(v, grid, ["asset", "horizon"], "first", "last", {
+        "n": F.lit(1), "revisions": F.col("revision"), "record_sum": F.col("record_id").cast("bigint")}, {"newest": F.col("available_at")}))
 
 
 @query
 def news_events(spark, sf):
-    cols = ["record_id", "event_id", "available_at"]
-    v = news.visible_items(slots(spark, sf), news.news_versions(tt.news_evidence(spark, sf).drop("title")), cols)
-    e = news.latest_events(v, cols)
-    return plain(e.groupBy("asset", "horizon", "cutoff_at").agg(
-        F.count(F.lit(1)).alias("events"), F.sum(F.col("record_id").cast("bigint")).alias("record_sum"),
-        F.sum("age_s").alias("age_sum")))
+    grid = slot_grid(slots(spark, sf), ["asset", "horizon"])
+    v = news.visible_spans(grid, news.news_versions(tt.news_evidence(spark, sf).drop("title")), ["record_id", "event_id", "available_at"])
+    return plain(slot_totals(news.event_spans(v), grid, ["asset", "horizon"], "first", "last", {
+        "events": F.lit(1), "record_sum": F.col("record_id").cast("bigint")}, age_of="clock"))
 
 
 @query
 def news_neardup_pairs(spark, sf):
     """Pairs of distinct texts (by their lowest record) with Jaccard at or above the limit."""
-    classes, similar = text_tables(tt.news_evidence(spark, sf))
+    classes = cut_lineage(neardup.text_classes(tt.news_evidence(spark, sf), "body"))
+    similar = neardup.similar_pairs(classes)
     first = classes.groupBy("class_id").agg(F.min(F.col("record_id").cast("bigint")).alias("rec"))
     a = first.withColumnRenamed("rec", "record_a")
     b = first.select(F.col("class_id").alias("other_id"), F.col("rec").alias("record_b"))
@@ -107,11 +107,11 @@ def news_neardup_pairs(spark, sf):
 @query
 def news_neardup_kept(spark, sf):
     items = tt.news_evidence(spark, sf)
-    classes, similar = text_tables(items)
-    d = news.retained_events(slots(spark, sf), items, classes, similar)
-    return plain(d.groupBy("asset", "horizon", "cutoff_at").agg(
-        F.count(F.lit(1)).alias("events"), F.sum(F.col("kept").cast("bigint")).alias("kept"),
-        F.sum(F.when(F.col("kept"), F.col("record_id").cast("bigint")).otherwise(0)).alias("kept_sum")))
+    grid = slot_grid(slots(spark, sf), ["asset", "horizon"])
+    d = news.retained_spans(grid, items, *text_tables(items))
+    kept = F.col("kept").cast("bigint")
+    return plain(slot_totals(d, grid, ["asset", "horizon"], "first", "last", {
+        "events": F.lit(1), "kept": kept, "kept_sum": kept * F.col("record_id").cast("bigint")}))
 
 
 @query
@@ -126,9 +126,10 @@ def news_lineage(spark, sf):
     """Records behind each active news block."""
     items = tt.news_evidence(spark, sf)
     classes, similar = text_tables(items)
-    asked = slots(spark, sf)
-    block = news.news_features(asked, items, tt.news_polls(spark, sf), classes, similar, news_rights(spark, sf))
-    return plain(news.news_lineage(block, news.retained_events(asked, items, classes, similar)))
+    grid = slot_grid(slots(spark, sf), ["asset", "horizon"])
+    judged = news.retained_spans(grid, items, classes, similar)
+    block = news.news_features(grid.drop("slot"), items, tt.news_polls(spark, sf), classes, similar, news_rights(spark, sf), spans=(grid, judged))
+    return plain(news.news_lineage(block, judged, grid))
 
 
 @query
