@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import BAR_DELAY_S, LOOKBACK_DAYS
 from tidemark.functions.timing import bucket_start, plus_seconds, time_bucket
-from tidemark.operators.asof import asof
+from tidemark.operators.asof import Probe, asof_many
 
 
 def trades_window(trades: DataFrame, market_id: str, start: str | datetime, end: str | datetime) -> DataFrame:
@@ -89,13 +89,15 @@ def asof_bar(decisions: DataFrame, bars: DataFrame, payload: list[str], earlier:
     """
     b = with_availability(bars)
     names = list(dict.fromkeys(["bar_close_at", "idx", *payload]))
-    d = asof(decisions, b.select("market_id", "bar_available_at", *names), ["market_id"],
-             "cutoff_at", "bar_available_at", names)
     first = F.col("cutoff_at") - F.expr(f"INTERVAL {LOOKBACK_DAYS} DAYS")
-    d = d.withColumn("_from", first)
-    b0 = (bars if earlier is None else earlier).select("market_id", F.col("bar_close_at").alias("_close0"), F.col("idx").alias("_idx0"))
-    d = asof(d, b0, ["market_id"], "_from", "_close0", ["_idx0"], strict=True,
-             probe=decisions.select("market_id", first.alias("_from")))
+    # a bar closes before the look-back if it was available before the look-back plus the delay, so one series serves both look-ups
+    d = decisions.withColumn("_from", first).withColumn("_known", plus_seconds("_from", BAR_DELAY_S))
+    probes = {"_bar": Probe("cutoff_at"), "_old": Probe("_known", strict=True)}
+    if earlier is not None:
+        b0 = with_availability(earlier).select("market_id", "bar_available_at", "idx")
+        d = asof_many(d, b0, ["market_id"], {"_old": probes.pop("_old")}, "bar_available_at", ["idx"], bucket_s=86400)
+    d = asof_many(d, b.select("market_id", "bar_available_at", *names), ["market_id"], probes, "bar_available_at", names, bucket_s=86400)
+    d = d.select(*decisions.columns, "_from", F.col("_old.idx").alias("_idx0"), *[F.col(f"_bar.{n}").alias(n) for n in names])
     inside = F.col("bar_close_at") >= F.col("_from")
     return (d.withColumn("bars_in_lookback",
                          F.when(inside, F.col("idx") - F.coalesce("_idx0", F.lit(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import COST_SCENARIOS, by_horizon
 from tidemark.functions.timing import plus_seconds, time_bucket
-from tidemark.operators.asof import asof
+from tidemark.operators.asof import Probe, asof_many
 from tidemark.operators.sequence import Carry, with_carry
 
 PRICE = "decimal(18,8)"
@@ -50,7 +50,7 @@ def execution_prices(quotes: DataFrame) -> DataFrame:
 
 
 def next_quotes(signals: DataFrame, quotes: DataFrame, extra_delay: Column | None = None,
-                bucket_s: int = 3600) -> DataFrame:
+                bucket_s: int = 60) -> DataFrame:
     """First quote of the market observed at or after issue + action delay and before expiry.
 
     `fill_until` closes the partial-fill window sixty seconds after that quote.
@@ -60,24 +60,20 @@ def next_quotes(signals: DataFrame, quotes: DataFrame, extra_delay: Column | Non
     q = quotes.select("market_id", F.col("observed_at").alias("quote_at"), F.col("book_id").alias("quote_book"),
                       F.col("bid").alias("quote_bid"), F.col("ask").alias("quote_ask"))
     payload = ["quote_at", "quote_book", "quote_bid", "quote_ask"]
-    d = asof(s, q, ["market_id"], "eligible_at", "quote_at", payload, tie=["quote_book"],
-             bucket_s=bucket_s, forward=True)
-    live = F.col("quote_at") < F.col("expires_at")
-    return d.select(*s.columns, *[F.when(live, F.col(c)).alias(c) for c in payload]) \
+    d = asof_many(s, q, ["market_id"], {"_q": Probe("eligible_at")}, "quote_at", payload, tie=["quote_book"], bucket_s=bucket_s, forward=True)
+    live = F.col("_q.quote_at") < F.col("expires_at")
+    return d.select(*s.columns, *[F.when(live, F.col(f"_q.{c}")).alias(c) for c in payload]) \
             .withColumn("fill_until", plus_seconds("quote_at", 60))
 
 
-def outcome_prices(decisions: DataFrame, trades: DataFrame, bucket_s: int = 3600) -> DataFrame:
-    """Entry price (first trade at or after cutoff + delay) and exit price (… + forecast)."""
+def outcome_prices(decisions: DataFrame, trades: DataFrame, bucket_s: int = 60) -> DataFrame:
+    """Entry price (first trade at or after cutoff + delay) and exit price (… + forecast); both are looked up in one pass over the trades."""
     d = (decisions.withColumn("_entry_from", plus_seconds("cutoff_at", by_horizon("delay_s")))
          .withColumn("_exit_from", plus_seconds("_entry_from", by_horizon("forecast_s"))))
-    times = d.select("market_id", "_entry_from", "_exit_from")
-    t = trades.select("market_id", F.col("event_time").alias("_at"), F.col("price_usd").alias("_p"), "trade_id")
-    for name, at in (("entry", "_entry_from"), ("exit", "_exit_from")):
-        r = t.select("market_id", F.col("_at").alias(f"{name}_at"), F.col("_p").alias(f"{name}_price"), "trade_id")
-        d = asof(d, r, ["market_id"], at, f"{name}_at", [f"{name}_at", f"{name}_price"], tie=["trade_id"],
-                 bucket_s=bucket_s, forward=True, probe=times)
-    return d.drop("_entry_from", "_exit_from")
+    t = trades.select("market_id", F.col("event_time").alias("at"), F.col("price_usd").alias("price"), "trade_id")
+    d = asof_many(d, t, ["market_id"], {"_entry": Probe("_entry_from"), "_exit": Probe("_exit_from")}, "at", ["at", "price"], tie=["trade_id"],
+                  bucket_s=bucket_s, forward=True)
+    return d.select(*decisions.columns, *[F.col(f"_{n}.{c}").alias(f"{n}_{c}") for n in ("entry", "exit") for c in ("at", "price")])
 
 
 def participation(fills: DataFrame, bucket_s: int = 3600, window_s: int = 60, rate: float = 0.01) -> DataFrame:
