@@ -53,6 +53,11 @@ SELECT o.market_id, o.horizon, o.cutoff_at, CAST(CASE outcome WHEN 'DOWN' THEN 0
   {r('cpi_level')} AS f0, {r('cpi_mom_pct')} AS f1, {r('effr_rate')} AS f2
 FROM outcome_rows o JOIN macro_wide m ON {ts('m.cutoff_at')} = o.cutoff_at WHERE outcome IS NOT NULL"""
 
+ORACLES["oof_rows"] = f"""SELECT f.row_id, CAST(fold AS BIGINT) AS fold, CAST(label % 3 AS BIGINT) AS y, TRUE AS proper
+FROM ({folds(0)}) f JOIN embeddings e ON e.vec_id = f.row_id WHERE role = 'validation'"""
+ORACLES["class_coverage"] = f"""SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n, count(DISTINCT label % 3) AS present, count(DISTINCT label % 3) < 3 AS lacking
+FROM ({folds(0)}) f JOIN embeddings e ON e.vec_id = f.row_id WHERE role = 'train' GROUP BY fold"""
+
 EDGE = "CASE " + " ".join(f"WHEN conf >= {i * 0.1!r}::DOUBLE THEN {i}" for i in range(9, 0, -1)) + " ELSE 0 END"
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.constants import FEATURE_PREFIX
 from tidemark.functions.timing import plus_seconds, time_bucket
+from tidemark.operators.boosting import Expert, Setting, bin_edges, fit_experts, out_of_fold_scores, prepare, setting_losses
 from tidemark.operators.sequence import with_row_index
 
 FOLDS = 5
@@ -113,44 +112,33 @@ def missing_classes(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.countDistinct("y").alias("classes")).where("classes < 3")
 
 
-def expert_grid(count: int = 20) -> list[dict]:
-    """Bounded settings: the reference point (depth 2) first, then a walk over the allowed values."""
-    depths, leaves = (2, 3, 4), (20, 30, 50)
-    grid = [dict(max_depth=2, min_rows=20)]
-    for i in range(count - 1):
-        grid.append(dict(max_depth=depths[i % 3], min_rows=leaves[(i // 3) % 3]))
-    return grid
-
+EXPERT_DEPTHS, EXPERT_RATES, EXPERT_CHILD_WEIGHTS = (2, 3, 4), (0.03, 0.05, 0.08, 0.10), (20.0, 30.0, 50.0)   # fixed values: the bounds of the search
 
-def fit_expert(train: DataFrame, features: str = "features_vec", label: str = "y", max_depth: int = 2,
-               min_rows: int = 20, trees: int = 50, seed: int = 42):
-    """Shallow tree ensemble with the sampling rates of the boosted original."""
-    from pyspark.ml.classification import RandomForestClassifier
-    return RandomForestClassifier(
-        featuresCol=features, labelCol=label, maxDepth=max_depth, minInstancesPerNode=min_rows, numTrees=trees,
-        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(train)
 
-
-def score_expert(model, rows: DataFrame, keep: list[str]) -> DataFrame:
-    """p_down, p_flat, p_up, renormalised to sum to one."""
-    from pyspark.ml.functions import vector_to_array
-    d = model.transform(rows).withColumn("_p", vector_to_array("probability"))
-    total = F.col("_p")[0] + F.col("_p")[1] + F.col("_p")[2]
-    return d.select(*keep, *[(F.col("_p")[i] / total).alias(f"p_{k}") for i, k in enumerate(("down", "flat", "up"))])
+def expert_grid(count: int = 20) -> list[Setting]:
+    """Bounded settings: the reference point (depth 2) first, then a walk that mixes the allowed values."""
+    grid = [Setting(max_depth=2, learning_rate=0.05, min_child_weight=20.0)]
+    for i in range(count - 1):
+        grid.append(Setting(EXPERT_DEPTHS[i % 3], EXPERT_RATES[(i + i // 3) % 4], EXPERT_CHILD_WEIGHTS[(i // 2) % 3], seed=43 + i))
+    return grid
 
 
-def out_of_fold(rows: DataFrame, folds: DataFrame, keep: list[str], **settings) -> DataFrame:
-    """Train on each fold's training rows, predict its validation rows; one frame of all folds.
+def trained_experts(rows: DataFrame, folds: DataFrame, settings: list[Setting], rounds: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int, list[Expert]]:
+    """(binned rows, features, experts of every fold and setting) from rows (row_id, features, y) and folds (row_id, fold, role).
 
-    rows(row_id, features_vec, y). Each training set must hold all three classes.
+    Each training set must hold all three classes.
     """
-    parts = []
-    for fold in range(1, FOLDS + 1):
-        tagged = rows.join(folds.where(F.col("fold") == fold).select("row_id", "role"), "row_id")
-        train = tagged.where("role = 'train'")
-        if train.select("y").distinct().count() < 3:
-            raise ValueError(f"fold {fold}: all three outcome classes are required")
-        model = fit_expert(train, **settings)
-        parts.append(score_expert(model, tagged.where("role = 'validation'"), keep)
-                     .withColumn("fold", F.lit(fold)))
-    return reduce(DataFrame.unionByName, parts)
+    tagged = rows.select("row_id", "y").join(folds, "row_id")
+    lacking = missing_classes(tagged.where("role = 'train'"), ["fold"]).collect()   # at most one row per fold
+    if lacking:
+        raise ValueError(f"folds {sorted(r['fold'] for r in lacking)}: all three outcome classes are required")
+    edges = bin_edges(rows)
+    table = prepare(rows, folds, edges, list(keep))
+    return table, len(edges), fit_experts(table, len(edges), list(range(1, FOLDS + 1)), settings, rounds)
+
+
+def out_of_fold(rows: DataFrame, folds: DataFrame, settings: list[Setting] | None = None, rounds: int = 50) -> DataFrame:
+    """Train every setting on each fold's training rows, choose the setting of least mean validation loss and predict all validation rows with it."""
+    table, width, experts = trained_experts(rows, folds, settings or expert_grid(1), rounds)
+    chosen = setting_losses(experts)[0][0]
+    return out_of_fold_scores(table, [e for e in experts if e.setting == chosen], width)

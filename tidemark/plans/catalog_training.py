@@ -120,13 +120,31 @@ def calibration_gate(spark, sf):
     return plain(rep.withColumn("passed", F.col("ece") <= ECE_GATE))
 
 
+def expert_rows(spark, sf):
+    """Embedding features with a class, and the purged folds of the same row numbers."""
+    e = tt.read(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") % 3).cast("int").alias("y"),
+                                                F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    return e, training.purged_folds(tt.target_clocks(spark, sf)).select("row_id", "fold", "role")
+
+
 @query
 def oof_predictions(spark, sf):
-    """Out-of-fold class probabilities of shallow tree ensembles on the embedding features."""
-    from pyspark.ml.functions import array_to_vector
-    e = tt.read(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("row_id"), (F.col("label") % 3).cast("double").alias("y"),
-        array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features_vec"))
-    folds = training.purged_folds(tt.target_clocks(spark, sf)).select("row_id", "fold", "role")
-    p = training.out_of_fold(e, folds, ["row_id", "y"])
-    return plain(p)
+    """Out-of-fold class probabilities of boosted trees, the setting chosen by validation loss."""
+    return plain(training.out_of_fold(*expert_rows(spark, sf), training.expert_grid(2), rounds=4))
+
+
+@query
+def oof_rows(spark, sf):
+    """Which expert's fold predicts which row, and that its probabilities are proper."""
+    p = training.out_of_fold(*expert_rows(spark, sf), training.expert_grid(1), rounds=2)
+    proper = (F.least("p_down", "p_flat", "p_up") > 0) & (F.abs(F.col("p_down") + F.col("p_flat") + F.col("p_up") - 1) < 1e-9)
+    return plain(p.select("row_id", "fold", "y", proper.alias("proper")))
+
+
+@query
+def class_coverage(spark, sf):
+    """Rows and distinct classes of every fold's training part."""
+    rows, folds = expert_rows(spark, sf)
+    d = rows.join(folds.where("role = 'train'"), "row_id")
+    n = d.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("y").alias("present"))
+    return plain(n.join(training.missing_classes(d, ["fold"]), "fold", "left").select("fold", "n", "present", F.col("classes").isNotNull().alias("lacking")))
