@@ -80,6 +80,40 @@ FROM (SELECT y, tt, exp((z0 - m) / tt) AS e0, exp((z1 - m) / tt) AS e1, exp((z2
   (SELECT y, z_down AS z0, z_flat AS z1, z_up AS z2, greatest(z_down, z_flat, z_up) AS m FROM f_preds0 WHERE pillar = 'technical'),
   (SELECT unnest([0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0]::DOUBLE[]) AS tt)) GROUP BY tt"""
 
+# ---- the passes of the fits, replayed ------------------------------------------------------
+CLS = ("down", "flat", "up")
+_PRI = ", ".join("('" + h + "', " + ", ".join(f"{x}::DOUBLE" for x in W[h]) + ")" for h in HZ)
+cte("fit_base", f"SELECT * FROM (VALUES {_PRI}) AS v(horizon, b0, b1, b2, b3)")
+cte("fit_rows", "SELECT row_id, any_value(f.y) AS y, part, " + pick("row_id", HZ) + " AS horizon, " + ", ".join(
+    f"max(ln(greatest(p_{k}, 1e-6::DOUBLE))) FILTER (pillar = '{p}') AS l{i}{k[0]}" for i, p in enumerate(P4) for k in CLS)
+    + " FROM f_preds f JOIN parts USING (row_id) GROUP BY row_id, part")
+cte("fit_w0", "SELECT horizon, b0 AS w0, b1 AS w1, b2 AS w2, b3 AS w3 FROM fit_base")
+for _k in range(3):
+    _s = 0.5 / (1 << _k)
+    cte(f"fit_try{_k}", f"""SELECT *, 1.0::DOUBLE - (w0 + w1 + w2) AS w3 FROM (SELECT horizon, x * 25 + y * 5 + z AS i, b0, b1, b2, b3,
+  c.w0 + b0 * {_s}::DOUBLE * (2 * x / 4.0::DOUBLE - 1) AS w0, c.w1 + b1 * {_s}::DOUBLE * (2 * y / 4.0::DOUBLE - 1) AS w1, c.w2 + b2 * {_s}::DOUBLE * (2 * z / 4.0::DOUBLE - 1) AS w2
+  FROM fit_w{_k} c JOIN fit_base USING (horizon), range(5) AS a(x), range(5) AS b(y), range(5) AS d(z))
+WHERE """ + " AND ".join((f"w{i}" if i < 3 else "1.0::DOUBLE - (w0 + w1 + w2)") + f" BETWEEN b{i} * 0.5 - 1e-12::DOUBLE AND b{i} * 1.5 + 1e-12::DOUBLE" for i in range(4)))
+    _e = ", ".join("exp(" + " + ".join(f"w{i} * l{i}{k[0]}" for i in range(4)) + f") AS e{k[0]}" for k in CLS)
+    _pen2 = " + ".join(f"pow(w{i} - b{i}, 2)" for i in range(4))
+    cte(f"fit_best{_k}", f"""SELECT horizon, w0, w1, w2, w3 FROM (SELECT horizon, i, w0, w1, w2, w3, round(avg(-ln(greatest(CASE y WHEN 0 THEN ed WHEN 1 THEN ef ELSE eu END / (ed + ef + eu), 1e-12::DOUBLE)))
+  + 0.5 * any_value({_pen2}), 12) AS loss FROM (SELECT t.*, y, {_e} FROM fit_rows JOIN fit_try{_k} t USING (horizon) WHERE part = 'fusion') GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY loss, i) = 1""")
+    cte(f"fit_w{_k + 1}", f"SELECT c.horizon, " + ", ".join(f"coalesce(b.w{i}, c.w{i}) AS w{i}" for i in range(4)) + f" FROM fit_w{_k} c LEFT JOIN fit_best{_k} b USING (horizon)")
+cte("fit_z", "SELECT row_id, r.y, part, horizon, " + ", ".join(" + ".join(f"w{i} * l{i}{k[0]}" for i in range(4)) + f" AS z_{k}" for k in CLS) + " FROM fit_rows r JOIN fit_w3 USING (horizon)")
+cte("fit_n", "SELECT horizon, count(*) AS n FROM fit_z WHERE part = 'calibration' GROUP BY horizon")
+cte("fit_t0", "SELECT horizon, 0.1::DOUBLE AS low, 10.0::DOUBLE AS high, 1.0::DOUBLE AS best FROM fit_n")
+for _k in range(3):
+    cte(f"fit_c{_k}", f"""SELECT horizon, low, step, i FROM (SELECT horizon, low, step, i, round(avg(-ln(greatest(CASE y WHEN 0 THEN e0 WHEN 1 THEN e1 ELSE e2 END / (e0 + e1 + e2), 1e-12::DOUBLE))), 12) AS nll
+  FROM (SELECT *, exp((z_down - m) / t) AS e0, exp((z_flat - m) / t) AS e1, exp((z_up - m) / t) AS e2 FROM (SELECT z.*, low, step, i, low * pow(step, i) AS t, greatest(z_down, z_flat, z_up) AS m
+    FROM fit_z z JOIN (SELECT *, pow(high / low, 0.05::DOUBLE) AS step FROM fit_t{_k}) USING (horizon), range(21) AS g(i) WHERE part = 'calibration')) GROUP BY horizon, low, step, i)
+QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY nll, i) = 1""")
+    cte(f"fit_t{_k + 1}", f"SELECT horizon, low * pow(step, greatest(0, i - 1)) AS low, low * pow(step, least(20, i + 1)) AS high, low * pow(step, i) AS best FROM fit_c{_k}")
+cte("fit_heat", "SELECT w.*, CASE WHEN n >= 5 THEN best ELSE 1.0::DOUBLE END AS temperature FROM fit_w3 w LEFT JOIN fit_n USING (horizon) LEFT JOIN fit_t3 USING (horizon)")
+_h = "SELECT horizon, y, e0 / (e0 + e1 + e2) AS d, e1 / (e0 + e1 + e2) AS f, e2 / (e0 + e1 + e2) AS u FROM (SELECT *, " + ", ".join(
+    f"exp((z_{k} - greatest(z_down, z_flat, z_up)) / temperature) AS e{i}" for i, k in enumerate(CLS)) + " FROM fit_z JOIN fit_heat USING (horizon) WHERE part = 'holdout')"
+
+
 B = W["swing_24h"]
 _ax = ["(VALUES (0.5::DOUBLE), (1.0::DOUBLE), (1.5::DOUBLE)) " + f"m{i}(k{i})" for i in range(3)]
 cte("lattice", f"""SELECT * FROM (SELECT *, 1 - w0 - w1 - w2 AS w3 FROM (SELECT k0 * {B[0]}::DOUBLE AS w0, k1 * {B[1]}::DOUBLE AS w1, k2 * {B[2]}::DOUBLE AS w2 FROM {', '.join(_ax)}))
@@ -97,4 +131,7 @@ cte("pool_full", f"""SELECT row_id, horizon, ed / (ed + ef + eu) AS d, ef / (ed
   FROM (SELECT *, {pick('row_id', HZ)} AS horizon FROM lnp) l)""")
 _gate_src = "SELECT p.part, q.horizon, p.y, d, f, u FROM pool_full q JOIN parts p ON p.row_id = q.row_id"
 ORACLES["calibration_gate"] = f"SELECT *, ece <= 0.08 AS passed FROM ({ece(_gate_src, ['part', 'horizon'])})"
+ORACLES["fitted_gate"] = f"""SELECT horizon, {', '.join(f'{r(f"w{i}")} AS w_{p}' for i, p in enumerate(P4))}, EXISTS (SELECT 1 FROM fit_rows q WHERE q.horizon = h.horizon AND part = 'fusion') AS fitted,
+  {r('temperature')} AS temperature, ece, max_error, brier, mean_confidence, accuracy, n, COALESCE(ece <= 0.08::DOUBLE, FALSE) AS passed
+FROM fit_heat h LEFT JOIN ({ece(_h, ['horizon'])}) USING (horizon)"""
 ORACLES = {k: sql(v) for k, v in ORACLES.items()}

@@ -64,7 +64,7 @@ def test_trees_equal_a_plain_version(spark):
     rows, roles = frames(spark, x, y, {1: {"train": train, "validation": valid}, 2: {"train": list(range(100, 400)), "validation": list(range(100))}})
     settings = [B.Setting(2, 0.3, 2.0, reg_lambda=1.0), B.Setting(3, 0.2, 5.0, seed=9)]
     edges = B.bin_edges(rows)
-    table = B.prepare(rows, roles, edges, [])
+    table = B.prepare(rows, roles, edges)
     experts = B.fit_experts(table, 4, [1, 2], settings, rounds=3)
     bins = B.binned(x, edges)
     assert len(experts) == 4
@@ -106,5 +106,5 @@ def test_missing_values_and_constant_features(spark):
     x[:, 1] = 1.0
     rows, roles = frames(spark, x, np.arange(60) % 3, {1: {"train": list(range(40)), "validation": list(range(40, 60))}})
     edges = B.bin_edges(rows)
-    e = B.fit_experts(B.prepare(rows, roles, edges, []), 2, [1], [B.Setting(min_child_weight=0.1)], 2)[0]
+    e = B.fit_experts(B.prepare(rows, roles, edges), 2, [1], [B.Setting(min_child_weight=0.1)], 2)[0]
     assert np.allclose(B.softmax(e.scores(B.binned(x, edges))).sum(axis=1), 1)

@@ -233,10 +233,11 @@ def test_temperature_and_weights_fit(spark):
         w = [2.718281828 ** (v / 2.5) for v in z]
         rows.append((*z, rnd.choices(range(3), w)[0]))
     d = spark.createDataFrame(rows, "z_down double, z_flat double, z_up double, y int")
-    t = calibration.fit_temperature(d, points=21, passes=3)
-    assert 1.8 < t < 3.5 and calibration.fit_temperature(d.limit(4)) == 1.0
-    curve = {r.temperature: r.nll for r in calibration.temperature_curve(d, [t, t * 1.1, t / 1.1]).collect()}
-    assert min(curve, key=curve.get) == t
+    few = d.limit(4).withColumn("cohort", F.lit("few"))
+    t = dict(map(tuple, calibration.fit_temperatures(d.withColumn("cohort", F.lit("all")).unionByName(few), "cohort").collect()))
+    assert 1.8 < t["all"] < 3.5 and t["few"] == 1.0
+    curve = {r.temperature: r.nll for r in calibration.temperature_curve(d, [t["all"], t["all"] * 1.1, t["all"] / 1.1]).collect()}
+    assert min(curve, key=curve.get) == t["all"]
 
 
 def test_canonical_url(spark):
@@ -296,3 +297,21 @@ def test_candidate_limit(spark, n, expected):
     """With limit 4, the sixth event sees five kept earlier events that share a shingle."""
     evs = [(f"{i}", f"same old start u{i} v{i} w{i} x{i} y{i}", i, i, None) for i in range(n)]
     assert judge(spark, evs, 4)[1] is expected is brute(evs, 4)[1]
+
+
+def test_pool_weights_move_towards_the_better_pillar_and_stay_in_bounds(spark):
+    """The first pillar knows the outcome, the second one errs; a cohort without rows keeps its baseline."""
+    import math
+    rows = []
+    for i in range(90):
+        y, row = i % 3, {"cohort": "a", "y": i % 3}
+        for p, good in (("p", 0.9), ("q", 0.05), ("r", 1 / 3)):
+            for k, c in enumerate(("down", "flat", "up")):
+                row[f"ln_{p}_{c}"] = math.log(good if k == y else (1 - good) / 2)
+        rows.append(row)
+    base = spark.createDataFrame([("a", 0.4, 0.4, 0.2), ("b", 0.5, 0.25, 0.25)], "cohort string, b_p double, b_q double, b_r double")
+    got = {r.cohort: r for r in calibration.fit_pool_weights(spark.createDataFrame(rows), base, "cohort", ["p", "q", "r"]).collect()}
+    a, b = got["a"], got["b"]
+    assert a.fitted and a.w_p > 0.4 > a.w_q and abs(a.w_p + a.w_q + a.w_r - 1) < 1e-9
+    assert 0.2 - 1e-9 <= a.w_q and a.w_p <= 0.6 + 1e-9 and 0.1 - 1e-9 <= a.w_r <= 0.3 + 1e-9
+    assert (b.w_p, b.w_q, b.w_r, b.fitted) == (0.5, 0.25, 0.25, False)

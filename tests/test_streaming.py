@@ -1,8 +1,10 @@
 """Streams replayed from files give the batch result."""
 
+import time
 from dataclasses import replace
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tidemark.operators.indicators import MIN_BARS, continued_indicators, indica
 from tidemark.plans.catalog_streams import feeds
 from tidemark.session import cut_lineage
 from tidemark.sources import testtables as tt
-from tidemark.streaming.alerts import streaming_alerts
+from tidemark.streaming.alerts import AlertJob
 from tidemark.streaming.bars import first_seen, streaming_bars
 from tidemark.sources.tables import scan
 from tidemark.streaming.ledger import pointer_changes, signal_job
@@ -43,11 +45,10 @@ def test_stream_bars_equal_batch_up_to_the_watermark(spark, folder):
     drain(streaming_bars(s), folder, "bars")
     got = {tuple(r) for r in spark.table("bars").select("market_id", "bar_close_at", "open_usd", "close_usd", "trade_count").collect()}
     last = t.agg(F.max("event_time")).first()[0]
-    want = ohlcv(t).where(F.col("bar_close_at") + F.expr("INTERVAL 2 SECONDS") <= F.lit(last) - F.expr("INTERVAL 2 SECONDS"))
+    # the watermark of the last batch: two seconds before the newest trade
+    want = ohlcv(t).where(F.col("bar_close_at") <= F.lit(last) - F.expr("INTERVAL 2 SECONDS"))
     want = {tuple(r) for r in want.select("market_id", "bar_close_at", "open_usd", "close_usd", "trade_count").collect()}
-    assert want <= got
-    every = {tuple(r) for r in ohlcv(t).select("market_id", "bar_close_at", "open_usd", "close_usd", "trade_count").collect()}
-    assert got <= every
+    assert want == got
 
 
 def test_late_trade_is_dropped(spark, folder):
@@ -72,14 +73,75 @@ def test_stream_dedup(spark, folder):
     assert spark.table("dd").count() == e.select("dedupe_key").distinct().count()
 
 
-def test_stream_alerts_equal_batch(spark, folder):
-    L, subs = tt.signal_ledger(spark, SF), tt.subscriptions(spark, SF)
-    s = replay(spark, L, folder, ["issued_at", "sequence"], 2)
-    drain(streaming_alerts(s, subs), folder, "al")
-    cols = ["subscription_id", "signal_id", "reason"]
-    got = sorted(map(tuple, spark.table("al").select(*cols).collect()))
-    want = sorted(map(tuple, alerts.dispatch(L, subs).select(*cols).collect()))
-    assert got == want and got
+def in_batches(df, order, cuts):
+    """The rows of df in order, cut at the given shares into frames."""
+    rows = df.orderBy(*order).collect()
+    at = [0, *(int(len(rows) * c) for c in cuts), len(rows)]
+    return [df.sparkSession.createDataFrame(rows[a:b], df.schema) for a, b in zip(at, at[1:], strict=False)]
+
+
+def sent(spark, folder):
+    return sorted(map(tuple, spark.read.parquet(f"{folder}/alerts").select("subscription_id", "signal_id", "reason").collect()))
+
+
+@pytest.mark.parametrize("cuts", [(), (0.01, 0.5), (0.3, 0.3, 0.31, 0.9)])
+def test_stream_alerts_equal_batch_for_any_cut(spark, folder, cuts):
+    L, subs = tt.signal_ledger(spark, SF), tt.subscriptions(spark, SF).limit(30)
+    job = AlertJob(subs, folder)
+    for i, batch in enumerate(in_batches(L, ["issued_at", "sequence"], cuts)):
+        job(batch, i)
+        job(batch, i)   # a repeated batch sends nothing twice
+    want = sorted(map(tuple, alerts.dispatch(L, subs).select("subscription_id", "signal_id", "reason").collect()))
+    assert sent(spark, folder) == want and want
+
+
+def plain_admitted(times, cool, reset, limit=8):
+    last, day, count, out = None, None, 0, []
+    for i, t in enumerate(times):
+        if reset and t // alerts.DAY_US != day:
+            day, count = t // alerts.DAY_US, 0
+        if count < limit and (last is None or t - last >= cool):
+            last, count = t, count + 1
+            out.append(i)
+    return out
+
+
+def test_jumps_equal_a_walk_over_all_signals():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 50, 400):
+        for cool in (0, 1, 3_600_000_000, 2 * alerts.DAY_US):
+            for reset in (True, False):
+                t = np.sort(r.integers(0, 5 * alerts.DAY_US, n) // r.choice([1, 10**9]))
+                cut = int(r.integers(0, n + 1))
+                state = alerts.Cooldown(reset=reset)
+                got = state.admitted(t[:cut], cool)
+                got += [cut + i for i in state.admitted(t[cut:], cool)]
+                assert got == plain_admitted(t.tolist(), cool, reset)
+
+
+def test_a_million_signals_cost_as_many_steps_as_alerts():
+    t = np.arange(1_000_000, dtype=np.int64) * 1_000_000
+    started = time.perf_counter()
+    got = alerts.Cooldown().admitted(t, 60_000_000)
+    assert len(got) == 8 * 12 and time.perf_counter() - started < 1
+
+
+@pytest.mark.parametrize("cuts", [(), (0.5,), (0.1, 0.11, 0.7)])
+def test_change_feed_equals_batch_for_any_cut(spark, folder, cuts):
+    L = tt.signal_ledger(spark, SF)
+    for i, batch in enumerate(in_batches(L, ["cutoff_at", "sequence"], cuts)):
+        for _ in range(1 + i % 2):
+            pointer_changes(batch, f"{folder}/p", f"{folder}/c", i)
+    cols = ["market_id", "horizon", "signal_id", "previous_id"]
+    got = spark.read.parquet(f"{folder}/c").select(*cols).collect()
+    assert sorted(map(str, got)) == sorted(map(str, ledger.change_feed(L).select(*cols).collect())) and len(got) > 100
+
+
+def test_older_signal_changes_nothing(spark, folder):
+    first, second = in_batches(tt.signal_ledger(spark, SF), ["cutoff_at", "sequence"], (0.5,))
+    pointer_changes(second, f"{folder}/p", f"{folder}/c", 0)
+    pointer_changes(first.join(second.select("market_id", "horizon").distinct(), ["market_id", "horizon"], "left_semi"), f"{folder}/p", f"{folder}/c", 1)
+    assert spark.read.parquet(f"{folder}/c/batch=1").count() == 0
 
 
 def test_pointer_and_change_feed_survive_a_repeated_batch(spark, folder):
@@ -115,8 +177,10 @@ def test_stream_alerts_remember_a_signal_without_confidence(spark, folder):
         "'READY' AS status", "false AS is_replay", "timestamp_seconds(s) AS issued_at", "timestamp_seconds(s + 90) AS expires_at")
     subs = spark.sql("SELECT 1L AS subscription_id, 'binance:BTCUSDT' AS market_id, 'scalp_15m' AS horizon, 0.6D AS min_confidence,"
                      " array('Buy', 'Sell') AS allowed_labels")
-    drain(streaming_alerts(replay(spark, L, folder, ["issued_at", "sequence"], 2), subs), folder, "nc")
-    got = sorted(r["signal_id"] for r in spark.table("nc").collect())
+    job = AlertJob(subs, folder)
+    for i, batch in enumerate(in_batches(L, ["issued_at", "sequence"], (0.5,))):
+        job(batch, i)
+    got = sorted(r[1] for r in sent(spark, folder))
     assert got == sorted(r["signal_id"] for r in alerts.dispatch(L, subs).collect()) == ["S0", "S3"]
 
 

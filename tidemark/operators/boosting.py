@@ -113,8 +113,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(flat.to_numpy(zero_copy_only=False), float).reshape(-1, width)
 
 
-def prepare(rows: DataFrame, roles: DataFrame, edges: np.ndarray, keep: list[str]) -> DataFrame:
-    """(row_id, y, bins, train, valid, keep…): bits of `train` and `valid` name the folds in which a row has that role. Written once."""
+def prepare(rows: DataFrame, roles: DataFrame, edges: np.ndarray) -> DataFrame:
+    """(row_id, y, bins, train, valid): bits of `train` and `valid` name the folds in which a row has that role. Written once."""
     bits = lambda role: F.coalesce(F.bit_or(F.when(F.col("role") == role, F.pow(F.lit(2), F.col("fold")).cast("bigint"))), F.lit(0))
     per_row = roles.groupBy("row_id").agg(bits("train").cast("bigint").alias("train"), bits("validation").cast("bigint").alias("valid"))
     d = spread(rows.join(per_row, "row_id"))
@@ -124,8 +124,7 @@ def prepare(rows: DataFrame, roles: DataFrame, edges: np.ndarray, keep: list[str
     def as_bins(features: pa.Array) -> pa.Array:
         return pa.array([b.tobytes() for b in binned(_matrix(features, width), edges)], pa.binary())
 
-    return cut_lineage(d.select("row_id", F.col("y").cast("int").alias("y"), as_bins("features").alias("bins"), "train", "valid",
-                                *[c for c in keep if c not in ("row_id", "y")]))
+    return cut_lineage(d.select("row_id", F.col("y").cast("int").alias("y"), as_bins("features").alias("bins"), "train", "valid"))
 
 
 def _unpacked(b: pa.RecordBatch, width: int) -> np.ndarray:

@@ -123,7 +123,7 @@ def expert_grid(count: int = 20) -> list[Setting]:
     return grid
 
 
-def trained_experts(rows: DataFrame, folds: DataFrame, settings: list[Setting], rounds: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int, list[Expert]]:
+def trained_experts(rows: DataFrame, folds: DataFrame, settings: list[Setting], rounds: int, folds_used: list[int] | None = None) -> tuple[DataFrame, int, list[Expert]]:
     """(binned rows, features, experts of every fold and setting) from rows (row_id, features, y) and folds (row_id, fold, role).
 
     Each training set must hold all three classes.
@@ -133,8 +133,8 @@ def trained_experts(rows: DataFrame, folds: DataFrame, settings: list[Setting],
     if lacking:
         raise ValueError(f"folds {sorted(r['fold'] for r in lacking)}: all three outcome classes are required")
     edges = bin_edges(rows)
-    table = prepare(rows, folds, edges, list(keep))
-    return table, len(edges), fit_experts(table, len(edges), list(range(1, FOLDS + 1)), settings, rounds)
+    table = prepare(rows, folds, edges)
+    return table, len(edges), fit_experts(table, len(edges), folds_used or list(range(1, FOLDS + 1)), settings, rounds)
 
 
 def out_of_fold(rows: DataFrame, folds: DataFrame, settings: list[Setting] | None = None, rounds: int = 50) -> DataFrame:

@@ -14,6 +14,9 @@ from tidemark.plans.catalog_news import text_tables
 from tidemark.plans.registry import plain, query
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import testtables as tt
+from tidemark.streaming.alerts import AlertJob
+from tidemark.streaming.bars import streaming_bars
+from tidemark.streaming.ledger import batches_of, pointer_changes, pointer_upsert, streaming_current
 from tidemark.streaming.signal_job import Feeds, SignalJob
 
 
@@ -56,3 +59,41 @@ def stream_signals(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     made = spark.read.parquet(f"{replayed_signal_job(spark, sf)}/signals")
     return plain(made.drop("signal_id", "sequence", "part", "batch"))
+
+
+@query
+def stream_pointer(spark, sf):
+    """The current pointer kept by an update-mode stream; equal to the batch query `current_signal`."""
+    folder, L = replay_folder(spark), tt.signal_ledger(spark, sf)
+    replayed(L, "cutoff_at", 4, folder, lambda stream: streaming_current(stream).writeStream.outputMode("update").foreachBatch(
+        lambda batch, i: pointer_upsert(batch, f"{folder}/pointer", i)))
+    return plain(spark.read.parquet(f"{folder}/pointer/batch={max(batches_of(spark, f'{folder}/pointer'))}").select(*L.columns))
+
+
+@query
+def stream_change_feed(spark, sf):
+    """Every change of the pointer, written batch by batch; equal to the batch query `change_feed`."""
+    folder = replay_folder(spark)
+    replayed(tt.signal_ledger(spark, sf), "cutoff_at", 4, folder, lambda stream: stream.writeStream.foreachBatch(
+        lambda batch, i: pointer_changes(batch, f"{folder}/pointer", f"{folder}/changes", i)))
+    return plain(spark.read.parquet(f"{folder}/changes").select("market_id", "horizon", "signal_id", F.coalesce("previous_id", F.lit("")).alias("previous_id")))
+
+
+@query
+def stream_alerts(spark, sf):
+    """Alerts sent signal by signal; equal to the batch query `alert_dispatch`."""
+    folder = replay_folder(spark)
+    job = AlertJob(tt.subscriptions(spark, sf), f"{folder}/out")
+    replayed(tt.signal_ledger(spark, sf), "issued_at", 4, folder, lambda stream: stream.writeStream.foreachBatch(job))
+    return plain(spark.read.parquet(f"{folder}/out/alerts").drop("batch"))
+
+
+@query
+def stream_bars(spark, sf):
+    """Minute bars of a trade stream whose watermark passes every bar; equal to the batch bars."""
+    folder, t = replay_folder(spark), tt.trades(spark, sf)
+    end = t.agg(F.max("event_time")).first()[0]
+    tick = t.limit(1).select("trade_id", F.lit("clock").alias("market_id"), "price_usd", "size", "side", (F.lit(end) + F.expr("INTERVAL 1 HOUR")).alias("event_time"))
+    # the last trade of another market lets the watermark pass all bars
+    replayed(t.unionByName(tick), "event_time", 4, folder, lambda stream: streaming_bars(stream).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/bars"))
+    return plain(spark.read.parquet(f"{folder}/bars").where("market_id <> 'clock'"), 9)

@@ -12,6 +12,7 @@ from tidemark.operators import fusion, training
 from tidemark.operators.reference import asof_macro
 from tidemark.plans.catalog_policy import KEY, outcomes
 from tidemark.plans.registry import plain, query
+from tidemark.session import cut_lineage
 from tidemark.sources import testtables as tt
 
 GRID = [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0]
@@ -120,6 +121,37 @@ def calibration_gate(spark, sf):
     return plain(rep.withColumn("passed", F.col("ece") <= ECE_GATE))
 
 
+def parts_and_horizons(spark, sf):
+    return training.train_partitions(tt.target_clocks(spark, sf)).select("row_id", "part").withColumn("horizon", F.expr(tt.horizon_of("row_id")))
+
+
+def prior_rows(spark):
+    return spark.createDataFrame([(h, *w.values()) for h, w in PRIORS.items()], "horizon string, " + ", ".join(f"b_{p} double" for p in next(iter(PRIORS.values()))))
+
+
+@query
+def fitted_gate(spark, sf):
+    """Pool weights, temperature and held-out calibration per horizon, fitted on separate parts of the rows."""
+    rows = C.wide_log_probs(tt.pillar_predictions(spark, sf), list(PILLARS), ["row_id", "y"]).join(parts_and_horizons(spark, sf), "row_id")
+    return plain(C.gate_on_holdout(rows, prior_rows(spark), "horizon", list(PILLARS), ECE_GATE))
+
+
+@query
+def training_pipeline(spark, sf):
+    """Experts of four pillars, their pool, its temperature and the gate: each fitted on its own part of the rows. The pillars take a quarter of the embedding each."""
+    parts = cut_lineage(parts_and_horizons(spark, sf))
+    e = tt.read(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") % 3).cast("int").alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("_e"))
+    roles = parts.select("row_id", F.lit(1).alias("fold"), F.when(F.col("part") == "experts", "train").otherwise("validation").alias("role"))
+    scored = []
+    for i, p in enumerate(PILLARS):
+        rows = e.select("row_id", "y", F.slice("_e", 16 * i + 1, 16).alias("features"))
+        table, width, experts = training.trained_experts(rows, roles, training.expert_grid(1), rounds=3, folds_used=[1])
+        scored.append(training.out_of_fold_scores(table, experts, width).withColumn("pillar", F.lit(p)))
+    every = scored[0].unionByName(scored[1]).unionByName(scored[2]).unionByName(scored[3])
+    rows = C.wide_log_probs(every, list(PILLARS), ["row_id", "y"]).join(parts, "row_id")
+    return plain(C.gate_on_holdout(rows, prior_rows(spark), "horizon", list(PILLARS), ECE_GATE))
+
+
 def expert_rows(spark, sf):
     """Embedding features with a class, and the purged folds of the same row numbers."""
     e = tt.read(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") % 3).cast("int").alias("y"),

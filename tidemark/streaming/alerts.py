@@ -1,63 +1,39 @@
-"""Stateful alerts: the batch rule with its state in the state store."""
+"""Alerts of a signal stream: the batch rule on every micro-batch, with its state in versioned tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tidemark.constants import CONFIDENCE_STEP, by_horizon
-from tidemark.operators.alerts import PAIR, Cooldown
-
-STATE = "label string, confidence double, last bigint, day bigint, count int"
-OUT = ("market_id string, horizon string, subscription_id bigint, signal_id string, sequence bigint, label string,"
-       " confidence double, at timestamp, reason string")
-
-
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One subscription: remember the previous live signal, the last dispatch and today's count."""
-    label, conf, last, day, count = state.get if state.exists else (None, None, None, None, 0)
-    gate = Cooldown(last, day, count)
-    pdf = pd.concat(list(batches)).sort_values(["_us", "sequence"])
-    sent = []
-    for row in pdf.itertuples(index=False):
-        why = _why(row, label, conf)
-        if why and row.wanted and gate.admit(row.us_, row.cool_):
-            sent.append((*key, row.signal_id, row.sequence, row.label, row.confidence, row.at, why))
-        label, conf = row.label, None if pd.isna(row.confidence) else float(row.confidence)
-    state.update((label, conf, gate.last, gate.day, gate.count))
-    names = [c.split()[0] for c in OUT.split(", ")]
-    yield pd.DataFrame(sent, columns=[n.strip() for n in names])
-
-
-def _why(row, label, conf):
-    """operators.alerts.trigger for one row against the remembered predecessor; a missing confidence sends nothing."""
-    if not row.live or pd.isna(row.confidence):
-        return None
-    if label is None:
-        return "INITIAL_SIGNAL_TRIGGER"
-    if row.label != label:
-        return "LABEL_CHANGED"
-    return "CONFIDENCE_INCREASE_GE_0_10" if conf is not None and row.confidence - conf >= CONFIDENCE_STEP else None
-
-
-def streaming_alerts(signals: DataFrame, subscriptions: DataFrame, now: str = "issued_at") -> DataFrame:
-    """Alerts of a signal stream per subscription, append mode.
-
-    Signals join the subscription table of their (market, horizon); every READY signal reaches the
-    state because it is the predecessor of the next one, wanted or not.
+
+from tidemark.operators.alerts import PAIR, STATE, candidates, decided, ready, rules_of, to_members
+from tidemark.session import cut_lineage
+from tidemark.sources.tables import overwrite_batch
+from tidemark.streaming.ledger import held_table
+
+
+class AlertJob:
+    """`foreachBatch` body over a stream of signals in the order of their issue.
+
+    Saved between batches: the last ready signal of every pair, which is the predecessor of the next one whether it was wanted or not, and
+    the cooldown state of every rule. A batch reads the state of the newest earlier batch and replaces its own folder, so a repeated batch
+    sends the same alerts.
     """
-    live = signals.where("status = 'READY' AND label IS NOT NULL AND NOT is_replay")
-    d = (live.join(subscriptions, PAIR)
-         .withColumn("wanted", F.expr("array_contains(allowed_labels, label)")
-                     & F.coalesce(F.col("confidence") >= F.col("min_confidence"), F.lit(False)))
-         .withColumn("live", F.col(now) < F.col("expires_at"))
-         .withColumn("us_", F.unix_micros(now)).withColumn("_us", F.unix_micros(now))
-         .withColumn("cool_", (by_horizon("cooldown_s") * 1e6).cast("bigint"))
-         .select(*PAIR, "subscription_id", "signal_id", "sequence", "label", "confidence", F.col(now).alias("at"),
-                 "wanted", "live", "us_", "_us", "cool_"))
-    return d.groupBy(*PAIR, "subscription_id").applyInPandasWithState(
-        _advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def __init__(self, subscriptions: DataFrame, root: str, now: str = "issued_at", daily_reset: bool = True):
+        self.rules, self.members = rules_of(subscriptions)
+        self.root, self.now, self.daily_reset = root, now, daily_reset
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before, states = (held_table(spark, f"{self.root}/{name}", batch_id) for name in ("prior", "state"))
+        made = cut_lineage(decided(candidates(batch, self.rules, self.now, before), states, self.daily_reset))
+        overwrite_batch(to_members(made, self.members), f"{self.root}/alerts", batch_id)
+
+        left = made.where("NOT _sent").select("subscription_id", *STATE)
+        if states is not None:
+            left = left.unionByName(states.join(left.select("subscription_id"), "subscription_id", "left_anti"))
+        overwrite_batch(left, f"{self.root}/state", batch_id)
+        last = ready(batch).groupBy(*PAIR).agg(F.max_by(F.struct("label", "confidence"), F.struct(self.now, "sequence")).alias("prior"))
+        if before is not None:
+            last = last.unionByName(before.join(last.select(*PAIR), PAIR, "left_anti"))
+        overwrite_batch(last, f"{self.root}/prior", batch_id)

@@ -28,7 +28,7 @@ from tidemark.plans.signals import signals
 from tidemark.plans.snapshot import dedupe_key, feature_snapshot, feed_rights, snapshot_digest
 from tidemark.session import cut_lineage
 from tidemark.sources.tables import overwrite_batch, scan
-from tidemark.streaming.ledger import batches_of
+from tidemark.streaming.ledger import held_table
 
 KEY = ["market_id", "horizon", "cutoff_at"]
 
@@ -86,9 +86,7 @@ class SignalJob:
             self._advance(earlier.limit(0).select("market_id", "bar_start_at", "bar_close_at", "open_usd", "high_usd", "low_usd", "close_usd", "volume"), batch_id, until)
 
     def _earlier(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
-        """A state table as the newest earlier batch left it."""
-        found = [b for b in batches_of(spark, f"{self.root}/{name}") if b < batch_id]
-        return spark.read.parquet(f"{self.root}/{name}/batch={max(found)}") if found else None
+        return held_table(spark, f"{self.root}/{name}", batch_id)
 
     def _all_before(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame:
         return spark.read.parquet(f"{self.root}/{name}").where(F.col("batch") <= batch_id)
