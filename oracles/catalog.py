@@ -1,5 +1,5 @@
 """All oracle texts by query name."""
 
-from oracles import market, news, policy, streams, training
+from oracles import checks, market, news, policy, streams, training
 
-ORACLES = {**market.ORACLES, **news.ORACLES, **policy.ORACLES, **training.ORACLES, **streams.ORACLES}
+ORACLES = {**market.ORACLES, **news.ORACLES, **policy.ORACLES, **training.ORACLES, **streams.ORACLES, **checks.ORACLES}
