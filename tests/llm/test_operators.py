@@ -424,6 +424,27 @@ def test_passages_grow_by_any_earlier_document(spark):
     assert set(left[2]) & set(passage) <= set(passage[:15] + passage[65:]) and len(left[2]) >= 144
 
 
+def test_shared_prefixes_equal_brute_force(spark):
+    """Longest first words shared with a class of an earlier document, over all lengths between and beyond those tried first."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        n = int(rng.integers(1, paragraph_minhash.REACH + 1))
+        rows.append((i, int(rng.integers(0, 3)), bytes(bytearray(np.where(rng.random(n) < 0.93, 1, 2).astype("<u4").tobytes())), int(rng.integers(0, 60))))
+    classes = spark.createDataFrame(rows, "id bigint, part bigint, words binary, first bigint")
+    want = {}
+    for i, part, own, first in rows:
+        best = (0, 0)
+        for _, q, other, low in rows:
+            if q == part and low < first:
+                n = next((k for k in range(min(len(own), len(other)) // 4) if own[4 * k:4 * k + 4] != other[4 * k:4 * k + 4]), min(len(own), len(other)) // 4)
+                best = max(best, (n, -low))
+        if best[0]:
+            want[i] = (best[0], -best[1])
+    got = {r["id"]: (r["n"], r["low"]) for r in paragraph_minhash.shared_prefixes(classes).collect()}
+    assert got == want
+
+
 def test_edited_passages_join_one_component(spark):
     base = rng_words(77, 400, 10 ** 6)
     rows = [(1, " ".join(base))] + [(i, edited(base, 3, i)) for i in range(2, 12)]
