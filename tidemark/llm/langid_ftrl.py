@@ -25,10 +25,12 @@ from tidemark.session import cut_lineage
 
 FEATURES = 1 << 14
 SAMPLE = 1000       #: documents of each language that train and calibrate
-SAMPLE_CHARS = 20_000_000   #: characters of the sample of each language; a document that would pass it is left to the next one
+SAMPLE_CHARS = 20_000_000   #: characters of the sample of each language
+LONG = 20                   #: a document of more than 1/LONG of these characters is drawn after all shorter ones
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 1.0, 1.0, 1e-4, 1e-4, 4, 32
 
 _PIECE = 1 << 18
+_AT_ONCE = 256
 _TABLE = np.arange(128, dtype=np.uint32)
 for _i in range(128):
     _TABLE[_i] = ord(chr(_i).lower()) if chr(_i).isalpha() else 32
@@ -153,7 +155,8 @@ def fit(rows: DataFrame, features: int = FEATURES, sample: int = SAMPLE, sample_
     # a first cut by the hash leaves about twice the sample, so few texts are moved; small languages pass whole
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2.0 * (sample + 20) / n))])
     near = rows.withColumn("shade", shade).where((F.pmod("shade", F.lit(1_000_000)) / 1e6 <= share[F.col("lang")]))
-    order = W.partitionBy("lang").orderBy(F.pmod("shade", F.lit(1_000_000)), "shade", "doc_id", "text")
+    too_long = F.length("text") > sample_chars // LONG
+    order = W.partitionBy("lang").orderBy(too_long, F.pmod("shade", F.lit(1_000_000)), "shade", "doc_id", "text")
     size = F.sum(F.length("text").cast("bigint")).over(order.rowsBetween(W.unboundedPreceding, 0))
     chosen = near.withColumn("rank", F.row_number().over(order)).withColumn("size", size).where(
         (F.col("rank") <= sample) & ((F.col("size") <= sample_chars) | (F.col("rank") == 1))).select("lang", "rank", "text")
@@ -197,7 +200,8 @@ def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") ->
     """The documents whose language is told with a score of `least` or more; texts that are `und` go. All columns pass through."""
     @F.arrow_udf(T.DoubleType())
     def sure(texts: pa.Array) -> pa.Array:
-        return pa.array([model.predict(t)[1] for t in texts_of(texts)], pa.float64())
+        # some texts at a time: a batch is decoded piece by piece
+        return pa.array([model.predict(t)[1] for at in range(0, len(texts), _AT_ONCE) for t in texts_of(texts.slice(at, _AT_ONCE))], pa.float64())
 
     return docs.where(sure(F.col(f"`{text}`").cast("string")) >= least)
 

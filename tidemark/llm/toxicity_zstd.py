@@ -37,6 +37,7 @@ from tidemark.session import cut_lineage
 
 WINDOW = 1
 SAMPLE, SAMPLE_CHARS = 6000, 30_000_000
+LONG = 20   #: a text of more than 1/LONG of these characters counts after all shorter ones
 TOXIC_BYTES, ORDINARY_BYTES = 1 << 16, 1 << 20
 MIN_DOCS = 4
 CODE = 32
@@ -146,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = WINDOW, sample: int = SA
     ids = cut_lineage(near.where("toxic in (0, 1)").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample))
     ids = ids.select("doc_id", "toxic", "rank")   # at most 2 · sample rows, so their broadcast is bounded
     rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id")
-    chars = F.sum(F.length("text").cast("bigint")).over(W.partitionBy("toxic").orderBy("rank", "text").rowsBetween(W.unboundedPreceding, 0))
+    too_long = F.length("text") > sample_chars // LONG
+    chars = F.sum(F.length("text").cast("bigint")).over(
+        W.partitionBy("toxic").orderBy(too_long, "rank", "text").rowsBetween(W.unboundedPreceding, 0))
     rows = cut_lineage(rows.select("toxic", "rank", "text").withColumn("chars", chars).where(F.col("chars") <= sample_chars).drop("chars"))
 
     def trained(group: pd.DataFrame) -> pd.DataFrame:
