@@ -9,14 +9,16 @@ can be run again; only k rows per query and block leave it. The query set is sta
 `query_every`) and meets all rows in blocks.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do null
-ids. Equal rows count once; of different vectors under one id the smallest array counts. Only vectors of the same
-length are compared. Ties go to the smaller id. Quantised components saturate at ±2^26 (then scores fit a long). With
+ids. Repeated rows are candidates of their own, so an id can come up more than once; an id asks once, with its smallest array, and no row of
+its own id is a candidate of it. Only vectors of the same length are compared. Ties go to the smaller id. Components are long integers: where floor(scale · x) lies beyond
+a long it counts as the nearest long, and so does a score. Scores are exact: products that may pass 2^62 are computed with Python integers. With
 fewer than k candidates all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from tidemark.llm.common import batch_of, read
 
 BLOCK_ROWS = 4096
 CELLS = 16
-LARGEST = 1 << 26
+_LONG = (1 << 63) - 1
 _CHUNK = 256   #: queries whose bounds are held at once
 
 
@@ -38,7 +40,7 @@ def quantised(embeddings: DataFrame, key: str = "vec_id", vector: str = "embeddi
     x = F.col("x")
     usable = (F.col("id").isNotNull() & (F.size(x) > 0)
               & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))))
-    whole = F.transform(x, lambda c: F.greatest(F.least(F.floor(c * scale), F.lit(LARGEST)), F.lit(-LARGEST)).cast("int"))
+    whole = F.transform(x, lambda c: F.floor(c * scale))
     rows = embeddings.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     return rows.where(usable).select(F.col("id").alias("vec_id"), whole.alias("v"))
 
@@ -59,36 +61,47 @@ def cells_of(exact: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _pack(rows: DataFrame, rows_per_block: int, name: str, cells: int = 0) -> DataFrame:
-    """One row per (dim, block): ids, exact vectors and, with `cells`, the approximation."""
+    """One row per (dim, block): ids, exact vectors and, with `cells`, the approximation. Rows are told apart by vec_id, v and copy."""
     total = rows.count()
     blocks = max(1, -(-total // rows_per_block))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(o=[tuple(v) for v in group["v"]]).sort_values(["vec_id", "o"]).drop_duplicates("vec_id")
-        exact = np.array(group["o"].tolist(), dtype="<i4")
+        group = group.assign(o=[tuple(v) for v in group["v"]]).sort_values(["vec_id", "o"])
+        exact = np.array(group["o"].tolist(), dtype="<i8")
         codes, low, high = cells_of(exact, cells) if cells else (exact[:0].astype(np.uint8), exact[:0], exact[:0])
         return pd.DataFrame({"dim": [exact.shape[1]], name: [group["b"].iloc[0]], "ids": [group["vec_id"].to_numpy("<i8").tobytes()],
                              "exact": [exact.tobytes()], "codes": [codes.tobytes()],
                              "edges": [np.stack([low, high]).astype("<f8").tobytes()]})
 
-    keyed = rows.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"))
+    keyed = rows.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v", "copy"), F.lit(blocks)).cast("int").alias("b"))
     return keyed.groupBy("dim", "b").applyInPandas(
         pack, f"dim int, {name} int, ids binary, exact binary, codes binary, edges binary"), blocks
 
 
+def scores(exact: np.ndarray, query: np.ndarray, fits: bool) -> np.ndarray:
+    """Inner products; those beyond a long count as the nearest one."""
+    if fits:
+        return exact.astype(np.int64) @ query.astype(np.int64)
+    return np.array([max(-_LONG, min(_LONG, sum(map(mul, v, query.tolist())))) for v in exact.tolist()], dtype=np.int64)
+
+
 def search_block(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray, ids: np.ndarray, codes: np.ndarray,
                  low: np.ndarray, high: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(query id, ids, scores, exact vectors read) of the k best vectors of one block for each query."""
     n, d = exact.shape
     dims = np.arange(d)
     lows, highs = low[codes, dims], high[codes, dims]
+    reach = np.maximum(np.abs(lows), np.abs(highs))
+    largest = float(np.abs(exact.astype(float)).max(initial=0)) * d
     for at in range(0, len(queries), _CHUNK):
         part, part_ids = queries[at:at + _CHUNK], query_ids[at:at + _CHUNK]
         plus, minus = np.maximum(part, 0).astype(float), np.minimum(part, 0).astype(float)
         upper = plus @ highs.T + minus @ lows.T
         lower = plus @ lows.T + minus @ highs.T
-        upper += np.abs(upper) * 1e-12   # the sums of products over 2^53 are rounded
-        lower -= np.abs(lower) * 1e-12
+        most = largest * float(np.abs(part.astype(float)).max(initial=0))   # no score is larger
+        if most >= 2.0 ** 53:   # sums of products are rounded, by no more than this share of their absolute terms
+            slack = (plus - minus) @ reach.T * ((d + 4) * 2.0 ** -51)
+            upper, lower = np.clip(upper + slack, -2.0 ** 63, 2.0 ** 63), np.clip(lower - slack, -2.0 ** 63, 2.0 ** 63)
         own = part_ids[:, None] == ids[None, :]
         upper[own], lower[own] = -np.inf, -np.inf
         sure = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(part), -np.inf)
@@ -101,7 +114,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray,
             while at_row < len(seen) and (len(best) < k or bounds[at_row] >= best[k - 1]):
                 take = seen[at_row:at_row + 16]
                 at_row += len(take)
-                best = np.concatenate([best, exact[take].astype(np.int64) @ query])
+                best = np.concatenate([best, scores(exact[take], query, most < 2.0 ** 62)])
                 best_ids = np.concatenate([best_ids, ids[take]])
                 order = np.lexsort((best_ids, -best))[:k]
                 best, best_ids = best[order], best_ids[order]
@@ -110,8 +123,11 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray,
 
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, block_rows: int = BLOCK_ROWS, cells: int = CELLS) -> DataFrame:
     """(query_id, rank, vec_id, score) for the quantised vectors (vec_id, v)."""
-    data, blocks = _pack(vectors, block_rows, "block", cells)
-    asked, _ = _pack(vectors.where(F.col("vec_id") % query_every == 0), block_rows, "asked")
+    # of equal rows no more than k can be among the k best, so a mass of copies is no group
+    counted = vectors.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    data, blocks = _pack(counted.select("vec_id", "v", F.explode(F.sequence(F.lit(1), "n")).alias("copy")), block_rows, "block", cells)
+    asking = vectors.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked, _ = _pack(asking.withColumn("copy", F.lit(1)), block_rows, "asked")
     asked = asked.select("dim", F.col("ids").alias("query_ids"), F.col("exact").alias("queries"),
                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     pairs = data.join(asked, ["dim", "block"]).select("dim", "ids", "exact", "codes", "edges", "query_ids", "queries")
@@ -123,8 +139,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, block_rows: int
                 d, ids, exact, codes, edges, query_ids, queries = (b.column(c)[r].as_py() for c in range(7))
                 low, high = np.frombuffer(edges, "<f8").reshape(2, cells, d)
                 found = list(search_block(
-                    np.frombuffer(queries, "<i4").reshape(-1, d), np.frombuffer(query_ids, "<i8"),
-                    np.frombuffer(exact, "<i4").reshape(-1, d), np.frombuffer(ids, "<i8"),
+                    np.frombuffer(queries, "<i8").reshape(-1, d), np.frombuffer(query_ids, "<i8"),
+                    np.frombuffer(exact, "<i8").reshape(-1, d), np.frombuffer(ids, "<i8"),
                     np.frombuffer(codes, np.uint8).reshape(-1, d), low, high, k))
                 yield batch_of(schema, np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64),
                                np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]))
@@ -145,9 +161,10 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+q AS (SELECT vec_id, min(e) AS e FROM v GROUP BY vec_id),
 s AS (
   SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
-  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+  FROM q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
 r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
