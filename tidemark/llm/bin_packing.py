@@ -3,10 +3,10 @@
 Items (documents, or pieces of documents longer than the largest length) are dealt into shards by a hash, about
 `shard_items` each, so that every shard is packed in one task with bounded memory, however items are
 distributed over sources or sizes. In a shard items go from long to short into the open bin with the least
-room that still holds them (best fit). If none does, a bin opens whose length costs least per token
-of expected content: among the lengths that hold the item, the one with the smallest
-(length + overhead) / (item + what the rest of the shard can still fill). At the end each bin shrinks to the
-smallest permitted length that holds its contents.
+room that still holds them (best fit). If none does, a bin opens. For each permitted length that holds the item, the bin is filled in thought from the histogram
+of the sizes that are left, largest first, and shrunk to its contents; the length with the smallest (shrunk length + overhead) / tokens opens. So all lengths are
+weighed against what the shard can really put into them. The shard is also packed with each length as the fixed opening length, and the packing of
+the least total cost (lengths plus overhead) is kept. At the end each bin shrinks to the smallest permitted length that holds its contents.
 
 Defined results: items of length null or below 1 make no piece; repeated rows are separate items; ties go by key, then by
 piece; an empty table gives an empty result; only `key` and `size` are read.
@@ -14,7 +14,8 @@ piece; an empty table gives an empty result; only `key` and `size` are read.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -33,31 +34,75 @@ OVERHEAD = 16   #: cost of a sequence beside its length, in tokens
 SCHEMA = "shard int, bin int, capacity int, used int, place int, doc_id bigint, piece int, piece_start bigint, size int"
 
 
-def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD) -> list[tuple[int, list[int]]]:
-    """(permitted length, items in order) of every bin; `sizes` must not exceed the largest length."""
-    lengths = sorted(lengths)
-    left = int(sum(sizes))
+class Left:
+    """Sizes that are not packed yet, as a histogram."""
+
+    def __init__(self, sizes: Sequence[int]):
+        counted = Counter(sizes)
+        self.sizes = sorted(counted)
+        self.counts = [counted[s] for s in self.sizes]
+
+    def take(self, size: int) -> None:
+        at = bisect_left(self.sizes, size)
+        self.counts[at] -= 1
+        if not self.counts[at]:
+            del self.sizes[at], self.counts[at]
+
+    def fill(self, room: int) -> int:
+        """What the largest sizes that still fit, one after the other, would fill of a room."""
+        used, at = 0, len(self.sizes)
+        while at and room - used >= self.sizes[0]:
+            at = bisect_right(self.sizes, room - used, 0, at) - 1
+            if at < 0:
+                break
+            size = self.sizes[at]
+            used += size * min(self.counts[at], (room - used) // size)
+        return used
+
+
+def packed(sizes: Sequence[int], lengths: Sequence[int], overhead: int, largest: int | None = None) -> list[tuple[int, list[int]]]:
+    """Best fit decreasing. A new sequence opens at the length that costs least for each token it will hold, judged by filling it from the sizes left and
+    downsizing it; with `largest` at that length, or longer if the size needs it."""
+    left = Left(sizes)
     open_bins: list[tuple[int, int]] = []   # (room, bin), sorted
     contents: list[list[int]] = []
     used: list[int] = []
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         size = sizes[i]
+        left.take(size)
         at = bisect_left(open_bins, (size, -1))
         if at < len(open_bins):
             room, b = open_bins.pop(at)
         else:
-            cost = [((c + overhead) / min(c, max(left, size)), -c) for c in lengths if c >= size]
-            room, b = -min(cost)[1], len(contents)
+            wide = [c for c in lengths if c >= size]
+            if largest is None:
+                fills = [(size + left.fill(c - size), c) for c in wide]
+                room = min(((lengths[bisect_left(lengths, f)] + overhead) / f, -c) for f, c in fills)[1] * -1
+            else:
+                room = max(wide[0], largest)
+            b = len(contents)
             contents.append([])
             used.append(0)
         contents[b].append(i)
         used[b] += size
-        left -= size
         if room > size:
             insort(open_bins, (room - size, b))
     return [(lengths[bisect_left(lengths, u)], c) for u, c in zip(used, contents, strict=True)]
 
 
+def cost_of(bins: Sequence[tuple[int, list[int]]], overhead: int = OVERHEAD) -> int:
+    return sum(c + overhead for c, _ in bins)
+
+
+def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD) -> list[tuple[int, list[int]]]:
+    """(permitted length, items in order) of every bin; `sizes` must not exceed the largest length.
+
+    Of the packings with the length chosen bin by bin and with each fixed opening length, the one of the least total cost is taken, the former if equal."""
+    lengths = sorted(lengths)
+    tried = [packed(sizes, lengths, overhead, largest) for largest in (None, *reversed(lengths))]
+    return min(tried, key=lambda bins: cost_of(bins, overhead))
+
+
 def best_fit(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", lengths: Sequence[int] = LENGTHS,
              shard_items: int = SHARD_ITEMS, overhead: int = OVERHEAD) -> DataFrame:
     """One row per piece: its bin (shard, bin), the bin's final capacity and fill, and its place in the bin."""
