@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import news
 from tidemark.operators import neardup
 from tidemark.operators import slotspans as S
+from tidemark.session import cut_lineage
 
 T0 = datetime(2024, 1, 1)
 
@@ -106,3 +107,27 @@ def test_kept_events_equal_the_rule_at_every_slot(spark):
             kept += [] if drop else [x]
             want.add((e, x[0], not drop))
         assert got[at] == want, at
+
+
+def test_similar_pairs_equal_all_pairs_and_leave_whole_texts_unshuffled(spark, monkeypatch):
+    """Near copies, exact copies, a line in every text and texts of nothing but frequent shingles, with few and with many shingles taken as frequent."""
+    r = random.Random(21)
+    line, pool = [f"l{i}" for i in range(14)], [f"p{i}" for i in range(9)]
+    texts = []
+    for i in range(40):
+        own = [f"w{i}x{k}" for k in range(r.choice([3, 30, 90]))]
+        near = [w if r.random() > 0.02 else f"e{r.randrange(10**6)}" for w in own]
+        texts += [own + line, near + line, own + line, [r.choice(pool) for _ in range(r.randrange(1, 9))], line + pool[:i % 9]]
+    df = spark.createDataFrame([(str(i), " ".join(t)) for i, t in enumerate(texts)], "record_id string, body string")
+    sets = {frozenset(zip(t, t[1:], t[2:], strict=False)) for t in texts} - {frozenset()}
+    want = sorted(round(len(a & b) / len(a | b), 9) for a in sets for b in sets if a != b and len(a & b) >= 0.85 * len(a | b))
+    classes = cut_lineage(neardup.text_classes(df, "body"))
+    for hot, limit, rounds in ((32, 200_000, 8), (1, 200_000, 8), (1, 5, 8), (2, 200_000, 1)):
+        for name, value in (("HOT", hot), ("HOT_LIMIT", limit), ("HOT_ROUNDS", rounds)):
+            monkeypatch.setattr(neardup, name, value)
+        got = neardup.similar_pairs(classes)
+        assert sorted(round(x["jaccard"], 9) for x in got.collect()) == want
+        assert got.count() == got.select("class_id", "other_id").distinct().count()
+    monkeypatch.undo()
+    wide = [f for f in neardup.one_per_class(classes)._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in f]
+    assert not wide   # whole shingle sets stay where they are
