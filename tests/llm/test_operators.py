@@ -613,3 +613,19 @@ def test_digests_of_the_encoding_query(spark):
     out = {r["doc_id"]: r for r in byte_bpe.op2_byte_bpe(spark, SF).collect()}
     for d, t in duckdb.connect().execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall():
         assert out[d]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_pipeline_line_dedup_winnows(spark, monkeypatch):
+    """The stage takes its fingerprints from windows; the exact pass adds only what they leave."""
+    r = random.Random(12)
+    for _ in range(200):
+        text = "\n".join(r.choice(["a b c d e f", "g", "h i", "", "one two three four five", "k%d" % r.randrange(9)]) for _ in range(r.randrange(12)))
+        chosen = line_winnow.fingerprints(text)
+        rest = line_winnow.unchosen(text, line_winnow.LINE_WORDS, chosen)
+        lines = [i for i, x in enumerate(text.split("\n")) if x.strip()]
+        pairs = sorted(tuple(x[2]) for x in chosen + rest if len(x[2]) == 2)
+        assert pairs == sorted(zip(lines, lines[1:], strict=False))   # each pair once, chosen or not
+        assert not {(x[0], x[1]) for x in chosen} & {(x[0], x[1]) for x in rest}
+    docs = docs_of(spark, [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny")])
+    monkeypatch.setattr(line_winnow, "unchosen", lambda text, least, chosen: [])
+    assert got(corpus_pipeline.line_dedup(spark, docs, SF)) == [(1, "a\nb\nc\nd"), (2, "x\ny")]   # windows and extensions alone find the run

@@ -11,8 +11,9 @@ Result: every line of a run of K + SPAN - 1 lines or more that occurs earlier is
 no line outside a repeated run of K lines is. All joins are on hashes: a run in a third of all documents is one key whose counts are combined before
 the shuffle, and the join back is a plain sort-merge join that Spark can split.
 
-The query keeps to that rule, which its SQL states. The pipeline takes more (`whole_prints`): every two consecutive lines and every single line of LINE_WORDS
-words or more is a fingerprint, so all later repeats of either are deleted, whatever stands around them; short single lines alone stay.
+The query keeps to that rule, which its SQL states. The pipeline takes its fingerprints and extensions too, and then, by an exact pass beside them, what no window has chosen
+(`unchosen`): every other two consecutive lines and every single line of LINE_WORDS words or more. So all later repeats of either are deleted, whatever stands
+around them; short single lines alone stay.
 
 Defined results: rows of a null key or text, and lines without a word, take no part and stay. Rows equal in key and text are one document. A document
 that loses all lines with a word is dropped by `deduplicated`. Other columns pass through, whatever their names; n_chars follows the text.
@@ -60,18 +61,20 @@ def fingerprints(text: str, k: int = K, span: int = SPAN) -> list[tuple[str, int
     return out
 
 
-def whole_prints(text: str, least: int) -> list[tuple[str, int, list[int]]]:
-    """(key, place, line numbers) of every two consecutive lines and of every line of `least` words or more."""
+def unchosen(text: str, least: int, chosen: list[tuple[str, int, list[int]]]) -> list[tuple[str, int, list[int]]]:
+    """(key, place, line numbers) of every two consecutive lines that `chosen` lacks and of every line of `least` words or more. The keys of pairs are those of k-grams of two."""
     numbered = [(i, line, _digest([line])) for i, line in enumerate(text.split("\n")) if line.strip(_SPACES)]
+    have = {(h, i) for h, i, _ in chosen}
     out = [(_digest(["1", h]), i, [i]) for i, line, h in numbered if len(_WORD.findall(line)) >= least]
-    return out + [(_digest([h, g]), i, [i, j]) for (i, _, h), (j, _, g) in zip(numbered, numbered[1:], strict=False)]
+    pairs = [(_digest([h, g]), i, [i, j]) for (i, _, h), (j, _, g) in zip(numbered, numbered[1:], strict=False)]
+    return out + [p for p in pairs if (p[0], p[1]) not in have]
 
 
 def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, span: int = SPAN, least: int | None = None) -> DataFrame:
     """(doc_id, text_key, line, kept_doc_id): lines (numbered from 0) to delete from a text, and the first document that keeps each.
 
-    text_key is xxhash64 of the text, so that rows of one key with different texts are told apart. With `least` the fingerprints are
-    those of `whole_prints`, not of k and span."""
+    text_key is xxhash64 of the text, so that rows of one key with different texts are told apart. With `least` lines and pairs that
+    no window has chosen follow (`unchosen`)."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_key"),
                        F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
     schema = pa.schema([("h", pa.string()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("lines", pa.list_(pa.int32()))])
@@ -79,7 +82,9 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, t in enumerate(texts_of(b.column(2))):
-                found = fingerprints(t, k, span) if least is None else whole_prints(t, least)
+                found = fingerprints(t, k, span)
+                if least is not None:
+                    found += unchosen(t, least, found)
                 if found:
                     n = len(found)
                     yield batch_of(schema, [f[0] for f in found], pa.array([b.column(0)[i].as_py()] * n, pa.int64()),
