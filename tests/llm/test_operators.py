@@ -29,6 +29,7 @@ from tidemark.llm import (
     va_file,
 )
 from tidemark.llm.bpe import Codec
+from tidemark.llm import components as components_module
 from tidemark.llm.components import components
 from tidemark.llm.links import joining, shared_counts
 from tidemark.llm.words import shingle_sets, words
@@ -374,6 +375,31 @@ def test_shared_counts_and_joining_in_small_steps():
     assert list(joining(([1, 2, 3], [1, 2, 3], sets), ([1, 2, 3], [1, 2, 3], sets), 75)) == [(1, 2)]
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components_module, "_star", lambda *a, star=components_module._star: rounds.append(1) or star(*a))
+    edges = [(1, i) for i in range(2, 40)] + [(i, 50) for i in range(51, 60)]
+    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert out == {i: 1 for i in range(1, 40)} | {i: 50 for i in range(50, 60)} and not rounds
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "a bigint, b bigint")
+    assert {r["node"]: r["component"] for r in components(chain).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8} and rounds
+
+
+def test_copies_take_the_component_of_their_class(spark, monkeypatch):
+    """Copies are no edges of the components; a key with several texts joins their classes."""
+    a, b, c, d = (" ".join(rng_words(i, 40)) for i in (1, 2, 3, 4))
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(i, a) for i in range(30, 60)] + [(7, near), (8, b), (70, b), (90, c), (91, c), (70, c), (95, d), (96, d)]
+    seen = []
+    monkeypatch.setattr(superminhash, "components", lambda e: seen.append(e.count()) or components(e))
+    out = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert out == {i: 7 for i in range(30, 60)} | {7: 7, 8: 8, 70: 8, 90: 8, 91: 8, 95: 95, 96: 95}
+    assert seen and max(seen) < 10
+    seen.clear()
+    once = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(docs_of(spark, rows[:33])).collect()}
+    assert once == {i: 7 for i in range(30, 60)} | {7: 7, 8: 8, 70: 8} and not seen
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(300, 299), (299, 298), (5, 5)]
     out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

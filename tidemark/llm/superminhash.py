@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch_of, bytes_of, fresh, read, small_side
 from tidemark.llm.components import components
-from tidemark.llm.links import links
+from tidemark.llm.links import grouped
 from tidemark.llm.words import mix, shingle_sets, words
 from tidemark.session import cut_lineage
 
@@ -123,6 +123,18 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
+def of_documents(full: DataFrame, classes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of the copies among (doc_id, digest), node the head of their class (digest, head), and (node, component) of the heads that are linked.
+
+    A copy needs no link, it takes the component of its head. Only where rows of one key hold several texts, copies join classes: such keys become links."""
+    copies = full.join(classes, "digest").where("head <> doc_id").select("doc_id", "head")
+    several = cut_lineage(full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if not several.isEmpty():
+        bridges = copies.join(small_side(several), "doc_id", "left_semi").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+        found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(bridges))
+    return copies.groupBy("doc_id").agg(F.min("head").alias("node")), found
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -137,7 +149,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     # one class per digest, named by its smallest document
     classes = full.groupBy("digest").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("h"))
     classes = cut_lineage(classes.select("digest", F.col("h.doc_id").alias("head"), "h.bands"))
-    copies = full.join(classes.select("digest", "head"), "digest").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     members = classes.select(F.col("head").alias("node"), F.explode("bands").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
     crowded = cut_lineage(members.join(heads, "bucket"))
@@ -145,9 +156,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     def sets_of(nodes: DataFrame) -> DataFrame:
         return full_sets(rows.join(small_side(nodes.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi"))
 
-    found = components(copies.unionByName(links(crowded, sets_of, percent)))
-    out = sketch.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    copies, found = of_documents(full.select("doc_id", "digest"), classes.select("digest", "head"), grouped(crowded, sets_of, percent))
+    out = sketch.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id")).join(found, "node", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
