@@ -109,6 +109,40 @@ def test_kept_events_equal_the_rule_at_every_slot(spark):
         assert got[at] == want, at
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_only_texts_that_stand_for_an_event_are_compared(spark, monkeypatch, limit):
+    """Many versions of few events between two slots: the spans are those of all texts compared, the texts asked for are those that some slot sees."""
+    r = random.Random(9)
+    base = [[f"w{r.randrange(50)}" for _ in range(30)] for _ in range(4)]
+    items = [(f"r{i:03d}", "BTC", f"s{i}", f"e{i % 12}", 0, T0 + timedelta(minutes=5 * i + 1), T0 + timedelta(minutes=5 * i), None, "RUMOR",
+              " ".join(base[i % 4] + [f"x{i % 7}"])) for i in range(200)]
+    df = spark.createDataFrame(items, "record_id string, asset string, source_key string, event_id string, revision int, available_at timestamp,"
+                                      " source_observed_at timestamp, published_at timestamp, status string, body string")
+    for c, v in (("publisher", F.lit("p")), ("language", F.lit("English")), ("sentiment", F.lit(0.1)), ("relevance", F.lit(0.5))):
+        df = df.withColumn(c, v)
+    slots = [("BTC", "swing_24h", T0 + timedelta(minutes=200 * k)) for k in range(7)]
+    grid = S.slot_grid(spark.createDataFrame(slots, "asset string, horizon string, cutoff_at timestamp"), ["asset", "horizon"])
+    asked = []
+
+    def texts(found):
+        asked.append({x.record_id for x in found.select("record_id").collect()})
+        classes = cut_lineage(neardup.text_classes(found, "body"))
+        return classes, neardup.similar_pairs(classes, places=neardup.places_of(found, classes))
+
+    def at_slots(judged):
+        rows = S.rows_at_slots(judged, grid, ["asset", "horizon"], "first", "last", S.grid_levels(grid))
+        return sorted((x.cutoff_at, x.event_id, x.record_id, x.kept) for x in rows.collect())
+
+    whole = news.standing_items
+    monkeypatch.setattr(news, "standing_items", lambda i, e: whole(i, e, limit))
+    want = at_slots(news.retained_spans(grid, df, *texts(df)))
+    got, classes = news.judged_texts(grid, df.drop("body"), texts, bodies=df)
+    assert at_slots(got) == want and {x[3] for x in want} == {True, False}
+    shown = {x[2] for x in want}
+    assert len(shown) < 100 and asked[1] == (shown if limit else asked[0])
+    assert classes.count() == len(asked[1])
+
+
 def test_similar_pairs_equal_all_pairs_and_leave_whole_texts_unshuffled(spark, monkeypatch):
     """Near copies, exact copies, a line in every text and texts of nothing but frequent shingles, with few and with many shingles taken as frequent."""
     r = random.Random(21)

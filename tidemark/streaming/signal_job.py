@@ -22,7 +22,7 @@ from tidemark.constants import BAR_DELAY_S, HORIZONS, LOOKBACK_DAYS
 from tidemark.functions.timing import plus_seconds, stamp, time_bucket
 from tidemark.operators.events import event_blackout
 from tidemark.operators.indicators import HALO, MIN_BARS, continued_indicators
-from tidemark.operators.news import news_features
+from tidemark.operators.news import TEXT_COLUMNS, news_features
 from tidemark.operators.sequence import with_row_index
 from tidemark.plans.signals import signals
 from tidemark.plans.snapshot import dedupe_key, feature_snapshot, feed_rights, snapshot_digest
@@ -157,10 +157,10 @@ class SignalJob:
         feeds = self.feeds
         slots = cut_lineage(slots)
         span = slots.agg(F.min("cutoff_at").alias("lo"), F.max("cutoff_at").alias("hi")).first()
-        items = cut_lineage(news_within_reach(feeds.items, span["lo"], span["hi"]))
+        items = cut_lineage(news_within_reach(feeds.items.drop(*TEXT_COLUMNS), span["lo"], span["hi"]))
         asked = slots.select(F.when(F.col("market_id").contains("BTC"), "BTC").otherwise("ETH").alias("asset"), "horizon", "cutoff_at").distinct()
         rights = feed_rights(slots.select("cutoff_at").distinct(), feeds.sources, feeds.policies)
-        news = news_features(asked, items, feeds.polls, *feeds.texts(items), rights)
+        news = news_features(asked, items, feeds.polls, feeds.texts, rights, bodies=feeds.items)
         shown = ["market_id", "bar_start_at", "bar_close_at", "open_usd", "high_usd", "low_usd", "close_usd", "volume", "idx", *feeds.technical]
         bars = series.select(*shown)
         if held is not None:
