@@ -10,6 +10,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -478,6 +479,20 @@ def test_shared_prefixes_equal_brute_force(spark):
     assert got == want
 
 
+def test_units_that_no_join_asks_for_stay_in_the_task(spark):
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 120, 300]))) for _ in range(40)]
+    rows = docs_of(spark, list(enumerate(texts + texts[:5]))).select("doc_id", "text")
+    for f in (paragraph_minhash.occurrences, paragraph_minhash.surroundings):
+        whole = f(rows, paragraph_minhash.WORDS, paragraph_minhash.SPAN)
+        asked = whole.where("doc_id >= 40").select("unit").distinct()
+        some = f(rows, paragraph_minhash.WORDS, paragraph_minhash.SPAN, paragraph_minhash.bits_of(asked))
+        want = sorted(map(str, whole.join(asked, "unit").collect()))
+        assert sorted(map(str, some.join(asked, "unit").collect())) == want
+        assert 0 < len(want) <= some.count() < whole.count() / 2
+        assert f(rows, paragraph_minhash.WORDS, paragraph_minhash.SPAN, paragraph_minhash.bits_of(asked.limit(0))).count() == 0
+
+
 def test_edited_passages_join_one_component(spark):
     base = rng_words(77, 400, 10 ** 6)
     rows = [(1, " ".join(base))] + [(i, edited(base, 3, i)) for i in range(2, 12)]
@@ -613,6 +628,26 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, odd, folder):
             assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in before.collect()}
 
 
+def sizes_of(batches):
+    for b in batches:
+        yield pa.record_batch({"n": [b.num_rows]})
+
+
+@pytest.mark.parametrize("name, rows, most", [("language_id", 10_000, 1_000), ("line_dedup", 0, 1_000), ("line_dedup", 300, 300)])
+def test_pipeline_stages_hand_few_texts_to_a_worker_at_once(spark, name, rows, most):
+    """A batch of whole texts is held several times, so its rows bound a worker's memory; a smaller setting of the session holds."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.range(0, 2_500, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("the line "), "id").alias("text"), F.lit("en").alias("lang"))
+    try:
+        spark.conf.set(setting, rows)
+        dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        sizes = docs.mapInArrow(sizes_of, "n bigint").collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert sum(r["n"] for r in sizes) == 2_500 and max(r["n"] for r in sizes) == most
+
+
 def test_pipeline_runs_over_whole_documents(spark):
     source = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     packed = corpus_pipeline.run(spark, SF).toPandas()
