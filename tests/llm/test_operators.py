@@ -479,6 +479,20 @@ def test_shared_prefixes_equal_brute_force(spark):
     assert got == want
 
 
+def test_prefixes_are_compared_in_tasks_and_those_of_crowds_by_joins(spark):
+    """No row per class and prefix where few classes begin with the same word; both ways and any mixture of them say the same."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.integers(0, 3)), bytes(np.where(rng.random(int(rng.integers(1, paragraph_minhash.REACH + 1))) < 0.9, 1, rng.integers(2, 40)).astype("<u4").tobytes()),
+             int(rng.integers(0, 60))) for i in range(300)]
+    classes = spark.createDataFrame(rows, "id bigint, part bigint, words binary, first bigint")
+    few = paragraph_minhash.shared_prefixes(classes)
+    assert "Generate" not in few._jdf.queryExecution().executedPlan().toString()
+    want = got(few)
+    assert len(want) > 100 and got(paragraph_minhash.shared_by_keys(classes)) == want
+    for crowd in (1, 3, 40):
+        assert got(paragraph_minhash.shared_prefixes(classes, crowd)) == want
+
+
 def test_units_that_no_join_asks_for_stay_in_the_task(spark):
     rng = random.Random(31)
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 120, 300]))) for _ in range(40)]
