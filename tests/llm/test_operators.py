@@ -31,6 +31,7 @@ from tidemark.llm import (
 )
 from tidemark.llm.bpe import Codec
 from tidemark.llm import components as components_module
+from tidemark.llm.common import rewritten
 from tidemark.llm.components import components
 from tidemark.llm.links import joining, shared_counts
 from tidemark.llm.words import shingle_sets, words
@@ -493,6 +494,15 @@ def test_prefixes_are_compared_in_tasks_and_those_of_crowds_by_joins(spark):
         assert got(paragraph_minhash.shared_prefixes(classes, crowd)) == want
 
 
+def test_texts_are_rewritten_once(spark):
+    """The test for words is no second call of Python, which would hold a second worker a task."""
+    docs = docs_of(spark, [(1, "a b"), (2, "c"), (3, "d e")])
+    marks = docs.where("doc_id < 3").select("doc_id", F.xxhash64("text").alias("text_key"), F.array(F.lit(1)).alias("cut"))
+    out = rewritten(docs, marks, lambda t, cut: t[1:], "doc_id", "text")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, " b"), (3, "d e")]
+
+
 def test_units_that_no_join_asks_for_stay_in_the_task(spark):
     rng = random.Random(31)
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 120, 300]))) for _ in range(40)]
