@@ -503,6 +503,29 @@ def test_texts_are_rewritten_once(spark):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, " b"), (3, "d e")]
 
 
+def test_sets_are_chosen_where_texts_are_read(spark, monkeypatch):
+    """Neither texts nor sets that nobody asked for are shuffled, however many documents and nodes there are."""
+    base = rng_words(78, 300, 10 ** 6)
+    docs = docs_of(spark, [(1, " ".join(base))] + [(i, edited(base, 3, i)) for i in range(2, 9)] + [(i, " ".join(rng_words(i, 300, 10 ** 6))) for i in range(20, 60)])
+    met, sets = [], paragraph_minhash.unit_sets
+    monkeypatch.setattr(paragraph_minhash, "unit_sets", lambda rows, *a: met.append((rows, sets(rows, *a))) or met[-1][1])
+    want = got(paragraph_minhash.repeated_spans(docs))
+    monkeypatch.setattr(paragraph_minhash, "HOLDERS", 0)
+    assert got(paragraph_minhash.repeated_spans(docs)) == want and want
+    for rows, some in met:
+        assert some.count() < sets(docs, paragraph_minhash.WORDS, paragraph_minhash.SPAN).count() / 2
+        assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passages_with_long_gaps_go_to_their_ends(spark):
+    """Distances of more than two bytes to the ends of a passage."""
+    words_ = rng_words(79, 70, 10 ** 6)
+    passage = " ".join(words_[:3]) + " " * 70_000 + " ".join(words_[3:66]) + " " * 70_000 + " ".join(words_[66:])
+    rows = [(i, " ".join(rng_words(90 + i, 60, 10 ** 6)) + " " + passage + " " + " ".join(rng_words(95 + i, 60, 10 ** 6))) for i in (1, 2)]
+    out = {r["doc_id"]: r["text"] for r in paragraph_minhash.deduplicated(docs_of(spark, rows)).collect()}
+    assert out[1] == rows[0][1] and out[2].split() == rng_words(92, 60, 10 ** 6) + rng_words(97, 60, 10 ** 6)
+
+
 def test_units_that_no_join_asks_for_stay_in_the_task(spark):
     rng = random.Random(31)
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 120, 300]))) for _ in range(40)]
