@@ -30,6 +30,7 @@ from tidemark.llm import (
     va_file,
 )
 from tidemark.llm.bpe import Codec
+from tidemark.llm import common
 from tidemark.llm import components as components_module
 from tidemark.llm.common import rewritten
 from tidemark.llm.components import components
@@ -503,6 +504,18 @@ def test_texts_are_rewritten_once(spark):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, " b"), (3, "d e")]
 
 
+def test_documents_without_cuts_are_not_shuffled(spark, odd, monkeypatch):
+    """A list of cuts that is too long for a broadcast: only documents that it may name are joined, with the same rows."""
+    marks = odd.where("doc_id in (1, 5, 9)").select("doc_id", F.xxhash64("text").alias("text_key"), F.array(F.lit(1)).alias("cut")).distinct()
+    marks = marks.unionByName(spark.createDataFrame([(7, 0, [1])], "doc_id bigint, text_key bigint, cut array<int>"))
+    want = got(rewritten(odd, marks, lambda t, cut: t[1:], "doc_id", "text"))
+    monkeypatch.setattr(common, "REWRITE_ROWS", 0)
+    out = rewritten(odd, marks, lambda t, cut: t[1:], "doc_id", "text")
+    assert got(out) == want and len(want) == odd.count()
+    joined = out._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.startswith("Union") and joined.count("Join") == 1
+
+
 def test_sets_are_chosen_where_texts_are_read(spark, monkeypatch):
     """Neither texts nor sets that nobody asked for are shuffled, however many documents and nodes there are."""
     base = rng_words(78, 300, 10 ** 6)
