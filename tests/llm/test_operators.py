@@ -166,6 +166,29 @@ def test_va_file_reads_few_exact_vectors():
     assert np.mean([f[3] for f in found]) < 600
 
 
+def test_va_file_goes_on_from_the_best_so_far(spark):
+    """Blocks that follow are read above the k-th best score only, and rows leave a task per group of blocks, not per block."""
+    r = np.random.default_rng(5)
+    exact, ids = (r.normal(size=(12_000, 16)) * 100).astype("<i2"), r.permutation(12_000)
+    best, reads = va_file.Best(exact[:60], ids[:60], 5), []
+    for at in range(0, len(ids), 2000):
+        part = exact[at:at + 2000]
+        best.meet(va_file.Block.of(part, ids[at:at + 2000], *va_file.cells_of(part, 16)))
+        reads.append(best.read.sum())
+    assert np.diff(reads).max() < reads[0] and reads[-1] - reads[-2] < reads[0] / 3
+    scores = exact[:60].astype(int) @ exact.T.astype(int)
+    scores[np.arange(60), np.arange(60)] = -1 << 60
+    order = [sorted(zip(-s, ids, strict=True))[:5] for s in scores]
+    assert best.ids.tolist() == [[i for _, i in o] for o in order] and best.scores.tolist() == [[-s for s, _ in o] for o in order]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(exact[:300].tolist())], "vec_id bigint, v array<bigint>")
+    want = got(va_file.top_k(df))
+    for groups, most, asked in ((1, 100, 32_768), (3, 2, 2), (1, 1, 1)):
+        old = va_file.GROUPS, va_file.GROUP_BLOCKS
+        va_file.GROUPS, va_file.GROUP_BLOCKS = groups, most
+        assert got(va_file.top_k(df, block_rows=20, asked_rows=asked)) == want
+        va_file.GROUPS, va_file.GROUP_BLOCKS = old
+
+
 # 4
 
 def brute_lines(rows, k, span):
