@@ -1,6 +1,7 @@
 """Spans of slots against plain enumeration."""
 
 import random
+import zlib
 from collections import defaultdict
 from datetime import datetime, timedelta
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import news
 from tidemark.operators import neardup
 from tidemark.operators import slotspans as S
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, small_side
 
 T0 = datetime(2024, 1, 1)
 
@@ -167,6 +168,27 @@ def test_similar_pairs_equal_all_pairs_and_leave_whole_texts_unshuffled(spark, m
     assert not wide   # whole shingle sets stay where they are
 
 
+def test_candidates_are_compared_by_groups_and_blocks(spark, monkeypatch):
+    """Sets go to a group once, whatever its pairs; groups in blocks of any size give the same pairs, and no set that nobody asks for is shuffled."""
+    r = random.Random(23)
+    base = [[f"w{i}x{k}" for k in range(60)] for i in range(12)]
+    texts = [[w if r.random() > 0.003 else f"e{r.randrange(10**6)}" for w in base[i % 12]] for i in range(120)] + [[f"u{i}x{k}" for k in range(60)] for i in range(80)]
+    sets = {i: sorted({zlib.crc32(" ".join(g).encode()) for g in zip(t, t[1:], t[2:], strict=False)}) for i, t in enumerate(texts)}
+    df = cut_lineage(spark.createDataFrame([(bytes([i]), s, len(s)) for i, s in sets.items()], "class_id binary, shingles array<bigint>, n int"))
+    both = [(bytes([i]), bytes([j]), len(sets[i]), len(sets[j])) for i in sets for j in sets if i < j < 120 and i % 12 == j % 12]
+    candidates = spark.createDataFrame(both, "class_id binary, other_id binary, n int, m int")
+    alike = lambda i, j: len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j]))
+    want = sorted((a, b, alike(a[0], b[0])) for a, b, _, _ in both if alike(a[0], b[0]) >= 0.85)
+    assert 100 < len(want) < len(both)
+    for shingles, most, bins, limit in ((1 << 20, 1000, 1 << 18, 500_000), (150, 1000, 100, 0), (1 << 20, 3, 1 << 18, 0)):
+        for name, value in (("BLOCK_SHINGLES", shingles), ("BLOCK_TEXTS", most), ("BIN_SHINGLES", bins)):
+            monkeypatch.setattr(neardup, name, value)
+        monkeypatch.setattr(neardup, "small_side", lambda keys, limit=limit: small_side(keys, limit))
+        out = neardup.compared(candidates, df, 0.85)
+        assert sorted((bytes(x["class_id"]), bytes(x["other_id"]), x["jaccard"]) for x in out.collect()) == want
+    assert df.where(neardup.listed(candidates)(F.col("class_id"))).count() < 130
+
+
 def test_prefixes_settle_frequent_shingles_before_they_are_shuffled(spark, monkeypatch):
     """Texts of many frequent shingles: one count of prefixes is enough, and shingles of one text are not joined."""
     r = random.Random(22)
