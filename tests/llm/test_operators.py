@@ -5,6 +5,7 @@ import os
 import random
 from math import floor
 import re
+import tracemalloc
 from collections import defaultdict
 
 import duckdb
@@ -401,6 +402,17 @@ def test_shared_counts_and_joining_in_small_steps():
     assert list(joining(([1, 2, 3], [1, 2, 3], sets), ([1, 2, 3], [1, 2, 3], sets), 75)) == [(1, 2)]
 
 
+def test_shared_counts_hold_little_memory():
+    """Two workers of an executor each count the shared shingles of a large group of near copies."""
+    sets = [np.arange(i % 7, 200, dtype=np.int64) for i in range(400)]
+    tracemalloc.start()
+    found = shared_counts(sets, sets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    assert found.tolist() == [[200 - max(i % 7, j % 7) for j in range(400)] for i in range(400)]
+
+
 def test_components_of_stars_take_no_round(spark, monkeypatch):
     rounds = []
     monkeypatch.setattr(components_module, "_star", lambda *a, star=components_module._star: rounds.append(1) or star(*a))
